@@ -3,8 +3,9 @@
 The pre-tokenizer of a byte-level BPE never lets a piece run over a single blank
 or line feed that stands between two non-space characters: the blank joins the
 piece at its right, the line feed is a piece of its own.  A text may therefore be
-cut at those places, and equal parts always get equal ids.  The library encodes
-each distinct part once per worker; a bounded dictionary remembers the ids.
+cut at those places, and equal parts always get equal ids.  Arrow finds the
+distinct parts of a batch, the library encodes each once, and a bounded
+dictionary remembers the ids for later batches.
 """
 
 from __future__ import annotations
@@ -12,18 +13,27 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Every character that any regex engine may take for white space.
-_SPACE = "\x09-\x0d\x1c-\x20\x85\xa0 ᠎ -​    ⁠　﻿"
-_MARKS = ".,;:!?%$&*#|)]\"'"
+_SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 _CUT = re.compile(f"(?<=[^{_SPACE}])(?=[ \n][^{_SPACE}])")
+_RE2 = re.sub(r"\\u(....)", r"\\x{\1}", _SPACE).replace(r"\x85", r"\x{85}").replace(r"\xa0", r"\x{a0}")
+#: Other white space at a blank or line feed, or at an end; the mark of a text's first part.
+_UNEVEN = rf"[{_RE2}][ \n]|[ \n][{_RE2}]|\A[{_RE2}]|[{_RE2}]\z|\x00"
+_FIRST = "\x00"
+_MARKS = ".,;:!?%$&*#|)]\"'"
 
-#: Parts remembered per worker; further parts are encoded each time they occur.
-CACHE_PARTS = 600_000
-#: Parts longer than this are encoded but not remembered.
+#: Parts remembered per worker; further parts are encoded once a batch.
+CACHE_PARTS = 700_000
+#: Longer parts are not remembered.
 CACHE_CHARS = 64
+#: Bytes of text encoded at once.
+BATCH_BYTES = 8_000_000
 
 
 class Encoder:
@@ -51,53 +61,82 @@ class Encoder:
         code = self._code
         return [array(code, e.ids).tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: set[str]) -> list[str]:
-        """Put the parts into the cache; returns those that must leave it again."""
-        cache, ends = self._cache, {}
-        for x in parts:
+    def _parts(self, names: list[str]) -> list[bytes]:
+        """Ids of distinct parts: behind a blank, or with their own line feed, or first."""
+        cache = self._cache
+        found = list(map(cache.get, names))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if not missing:
+            return found
+        stems, ends = {}, {}
+        for i in missing:
+            x = names[i]
             stem = x.rstrip(_MARKS)
             # between a letter and a punctuation mark a new piece always begins
             if stem != x and stem and stem[-1].isalpha():
-                ends[x] = stem
-        names = list({ends.get(x, x) for x in parts}.difference(cache))
-        marks = list({x[len(stem) :] for x, stem in ends.items()})
-        new = self._plain([x if x[0] == "\n" else " " + x for x in names] + marks)
-        mark = dict(zip(marks, new[len(names) :], strict=True))
-        cache.update(zip(names, new, strict=False))
-        for x, stem in ends.items():
-            cache[x] = cache[stem] + mark[x[len(stem) :]]
-        stay = [x for x in names if len(x) <= CACHE_CHARS][: max(0, self._room)]
-        self._room -= len(stay)
-        if len(stay) == len(names):
-            return list(ends)
-        return [*ends, *set(names).difference(stay, ends)]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cache, alone, parts = self._cache, {}, []
-        for i, t in enumerate(texts):
-            if not t:
-                parts.append([])
-            elif not self._cuttable or any(a in t for a in self._added):
-                parts.append([])
-                alone[i] = [t]
+                ends[i] = stem
+                x = stem
+                if x in cache:
+                    continue
+            stems[x] = b""
+        new = list(stems)
+        marks = list({names[i][len(stem) :] for i, stem in ends.items()})
+        ids = self._plain([x if x[:1] == "\n" else x[1:] if x[:1] == _FIRST else " " + x for x in new] + marks)
+        mark = dict(zip(marks, ids[len(new) :], strict=True))
+        stems.update(zip(new, ids, strict=False))
+        for i in missing:
+            if i in ends:
+                stem = ends[i]
+                found[i] = (stems[stem] if stem in stems else cache[stem]) + mark[names[i][len(stem) :]]
             else:
-                # a part stands for itself behind a blank, or with its own line feed
-                p = t.replace("\n", " \n").split(" ")
-                if " ".join(t.split()) == t.replace("\n", " ") and "\u180e" not in t:
-                    alone[i] = [p.pop(0)]
-                else:  # other white space than single blanks and line feeds
-                    alone[i] = _CUT.split(t)
-                    p = []
-                parts.append(p)
-        fleeting = self._learn(set().union(*parts).difference(cache))
-        get = cache.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
-        for x in fleeting:
-            del cache[x]
-        flat = iter(self._plain([x for p in alone.values() for x in p]))
-        for i, p in alone.items():
-            out[i] = b"".join([next(flat) for _ in p]) + out[i]
-        return [np.frombuffer(b, dtype=self.dtype) for b in out]
+                found[i] = stems[names[i]]
+        if self._room > 0:
+            stay = [x for x in new if len(x) <= CACHE_CHARS][: self._room]
+            self._room -= len(stay)
+            cache.update((x, stems[x]) for x in stay)
+        return found
+
+    def _even(self, texts: pa.Array) -> list[np.ndarray]:
+        """Texts whose white space is single blanks and line feeds between other characters."""
+        marked = pc.replace_substring(pc.binary_join_element_wise(_FIRST, texts, ""), "\n", " \n")
+        lists = pc.split_pattern(marked, " ")
+        coded = lists.flatten().dictionary_encode()
+        ids = self._parts(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.dtype.itemsize
+        flat, begin = np.frombuffer(b"".join(ids), dtype=self.dtype), np.concatenate([[0], np.cumsum(size)[:-1]])
+        which = coded.indices.to_numpy()
+        n = size[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(ends[-1], dtype=np.int64) + np.repeat(begin[which] - ends[:-1], n)
+        out = flat[at]
+        cuts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        texts = pc.fill_null(texts, "")
+        uneven = pc.match_substring_regex(texts, _UNEVEN) if self._cuttable else pa.array([True] * len(texts))
+        for a in self._added:
+            uneven = pc.or_(uneven, pc.match_substring(texts, a))
+        uneven = pc.and_(uneven, pc.not_equal(texts, ""))
+        single = pc.indices_nonzero(uneven).to_pylist()
+        if not single:
+            return self._even(texts) if len(texts) else []
+        out: list = [None] * len(texts)
+        rest = pc.invert(uneven)
+        even = texts.filter(rest)
+        if len(even):
+            for i, a in zip(pc.indices_nonzero(rest).to_pylist(), self._even(even), strict=True):
+                out[i] = a
+        for i in single:
+            t = texts[i].as_py()
+            whole = not self._cuttable or any(a in t for a in self._added)
+            parts = self._plain([t] if whole else list(dict.fromkeys(p := _CUT.split(t))))
+            if not whole:
+                known = dict(zip(dict.fromkeys(p), parts, strict=True))
+                parts = [known[x] for x in p]
+            out[i] = np.frombuffer(b"".join(parts), dtype=self.dtype)
+        return out
 
 
 _made: dict[str, Encoder] = {}
@@ -110,6 +149,28 @@ def encoder(tokenizer_path: str) -> Encoder:
     return _made[tokenizer_path]
 
 
+def text_groups(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[tuple[list, pa.Array]]:
+    """(doc ids, texts) of about ``most`` bytes, so that memory stays bounded."""
+    ids: list = []
+    held: list[pa.Array] = []
+    size = 0
+    for b in batches:
+        texts, names = b.column("text"), b.column("doc_id").to_pylist()
+        n = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        at, before = 0, 0
+        while at < len(names):
+            end = max(at + 1, int(np.searchsorted(n, before + most - size, side="right")))
+            ids += names[at:end]
+            held.append(texts.slice(at, end - at))
+            size += int(n[end - 1]) - before
+            before, at = int(n[end - 1]), end
+            if size >= 0.9 * most or at < len(names):
+                yield ids, pa.concat_arrays(held)
+                ids, held, size = [], [], 0
+    if ids:
+        yield ids, pa.concat_arrays(held)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

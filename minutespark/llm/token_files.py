@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import default_tokenizer, encoder
+from .bpe import default_tokenizer, encoder, text_groups
 from .shared import documents, require, stored, table_path
 
 #: Sequences in a record batch.
 BATCH = 64
-#: Texts given to the tokenizer at once, by their characters.
-ENCODE_CHARS = 4_000_000
 
 
 def file_system(uri: str):
@@ -40,22 +38,6 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
-def text_groups(batches: Iterator[pa.RecordBatch], most: int = ENCODE_CHARS) -> Iterator[tuple[list, list]]:
-    """Lists of (doc_id, text), cut by bytes so that memory stays bounded."""
-    ids, texts, chars = [], [], 0
-    for b in batches:
-        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-            t = t.as_py() or ""
-            ids.append(i)
-            texts.append(t)
-            chars += len(t)
-            if chars >= most:
-                yield ids, texts
-                ids, texts, chars = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 class _Writer:
     """Streams ids into the sequences of one file."""
 
