@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, token_files
+from . import exact_dedup, packing, simhash, token_files
 
-MODULES = (exact_dedup, token_files)
+MODULES = (exact_dedup, packing, simhash, token_files)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
