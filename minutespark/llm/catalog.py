@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, simhash, token_files
+from . import exact_dedup, packing, simhash, token_files, topk
 
-MODULES = (exact_dedup, packing, simhash, token_files)
+MODULES = (exact_dedup, packing, simhash, token_files, topk)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
