@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, packing, simhash, token_files, topk
+from . import exact_dedup, licenses, packing, simhash, token_files, topk, toxicity
 
-MODULES = (exact_dedup, licenses, packing, simhash, token_files, topk)
+MODULES = (exact_dedup, licenses, packing, simhash, token_files, topk, toxicity)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
