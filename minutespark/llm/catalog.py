@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, packing, scoring, simhash, token_files, topk, toxicity
+from . import exact_dedup, licenses, mixing, packing, quality, scoring, simhash, token_files, topk, toxicity
 
-MODULES = (exact_dedup, licenses, mixing, packing, scoring, simhash, token_files, topk, toxicity)
+MODULES = (exact_dedup, licenses, mixing, packing, quality, scoring, simhash, token_files, topk, toxicity)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
