@@ -1,6 +1,5 @@
-"""Queries over the driver's tables, and the same in SQL."""
+"""All queries of the engine, and the same in SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .queries import ORACLES, QUERIES, texts  # noqa: F401
