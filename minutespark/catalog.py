@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from .queries import ORACLES, QUERIES, texts  # noqa: F401
+from .queries import ORACLES, QUERIES, retrieval, texts, writes  # noqa: F401

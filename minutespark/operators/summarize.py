@@ -68,7 +68,10 @@ def parse_json_strict(text: str) -> dict:
 def json_object(x: Column) -> Column:
     """The text as a variant if it is a JSON object, else null."""
     v = F.try_parse_json(x)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    # the parser stops behind the first value; within brackets anything more is seen
+    one = F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+    alone = F.schema_of_variant(one).startswith("ARRAY<OBJECT") & F.try_variant_get(one, "$[1]", "string").isNull()
+    return F.when(F.schema_of_variant(v).startswith("OBJECT") & alone, v)
 
 
 def topics_normalized(topics: Column, normalized: bool = False) -> Column:
