@@ -29,11 +29,11 @@ _FIRST = "\x00"
 _MARKS = ".,;:!?%$&*#|)]\"'"
 
 #: Parts remembered per worker; further parts are encoded once a batch.
-CACHE_PARTS = 700_000
+CACHE_PARTS = 400_000
 #: Longer parts are not remembered.
 CACHE_CHARS = 64
 #: Bytes of text encoded at once.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 5_000_000
 
 
 class Encoder:
@@ -107,7 +107,7 @@ class Encoder:
         which = coded.indices.to_numpy()
         n = size[which]
         ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.arange(ends[-1], dtype=np.int64) + np.repeat(begin[which] - ends[:-1], n)
+        at = np.arange(ends[-1], dtype=np.int32) + np.repeat((begin[which] - ends[:-1]).astype(np.int32), n)
         out = flat[at]
         cuts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
