@@ -117,12 +117,114 @@ def families(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "copies")
 
 
+# --- looser copies: five-word shingles alike to four fifths
+
+#: Blocks of a wide fingerprint, and the share of differing bits that still nominates.
+WIDE_BLOCKS, WIDE_RADIUS = 16, 0.125
+#: Smallest hashes of a document's shingles that decide, and the similarity they must show.
+SKETCH, ALIKE, WORDS = 256, 0.8, 5
+#: Members that stand for a family too large to be joined with itself.
+HUBS = 4
+
+
+def wide_bits(n: int) -> int:
+    """Bits of a block, so that few unrelated documents share one by chance."""
+    return 16 if n < 1 << 20 else 32
+
+
+def wide_fingerprint(text: str | None, bits: int) -> np.ndarray:
+    """SimHash of the distinct words, as signed 64-bit numbers.
+
+    A changed word changes one of many words, but five shingles: close copies stay
+    closer than by their shingles.
+    """
+    from xxhash import xxh3_128_digest
+
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    size = WIDE_BLOCKS * bits // 8
+    raw = b"".join([xxh3_128_digest(w, seed) for w in words for seed in range(size // 16)])
+    on = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, size), axis=1)
+    total = sum(on[at : at + 255].sum(axis=0, dtype=np.uint8).astype(np.int64) for at in range(0, len(on), 255))
+    return np.packbits(total * 2 > len(words)).view("<i8")
+
+
+def sketch(text: str | None) -> bytes:
+    return np.unique(shingle_hashes(text, WORDS).astype(np.uint32))[:SKETCH].astype("<u4").tobytes()
+
+
+def alike(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets: exact up to SKETCH shingles, else estimated from the smallest hashes of both."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    union = np.union1d(x, y)[:SKETCH] if max(len(x), len(y)) == SKETCH else np.union1d(x, y)
+    return float(np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean()) if len(union) else 0.0
+
+
+def near_links(docs: DataFrame) -> DataFrame:
+    """Links (u, v) between documents whose five-word shingles are alike to ALIKE or more.
+
+    Wide fingerprints nominate: documents that share a block and differ in at most
+    an eighth of all bits.  Families too large for a block are compared with HUBS of
+    their members.  Rows alike in fingerprint and sketch are collapsed first.
+    Texts without words link to nothing.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    bits = wide_bits(rows.count())
+    names = [f"w{i}" for i in range(WIDE_BLOCKS * bits // 64)]
+    per = 64 // bits
+    keys = [F.shiftrightunsigned(F.col(names[i // per]), i % per * bits).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(WIDE_BLOCKS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, prints, marks = [], [], []
+            for i, t in zip(b.column("doc_id"), b.column("text"), strict=True):
+                t = t.as_py()
+                if t and t.strip(" \t\n\v\f\r"):
+                    ids.append(i.as_py())
+                    prints.append(wide_fingerprint(t, bits))
+                    marks.append(sketch(t))
+            cols = [pa.array([int(x[k]) for x in prints], pa.int64()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *cols, pa.array(marks, pa.binary())], ["doc_id", *names, "sketch"])
+
+    marked = rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", sketch binary")
+    raw = stored(marked, "wide")
+    heads = stored(raw.groupBy(*names, F.xxhash64("sketch").alias("mark")).agg(F.min("doc_id").alias("id")), "wide-heads")
+    marks = raw.select(F.col("doc_id").alias("id"), *names, "sketch").join(heads.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "sketch")
+    same = raw.join(heads, [*[raw[n] == heads[n] for n in names], F.xxhash64(raw["sketch"]) == heads["mark"]]).select(F.col("doc_id").alias("u"), F.col("id").alias("v")).filter("u != v")
+
+    keyed = heads.select("id", *names, F.posexplode(F.array(*keys)).alias("block", "key"))
+    sizes = keyed.groupBy("block", "key").count().filter("count > 1")
+    blocks = stored(keyed.join(sizes, ["block", "key"]), "wide-blocks")
+    others = [F.col(n).alias(f"o{n}") for n in names]
+    apart = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"o{n}"))) for n in names[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("ow0"))))
+    close = (F.col("v") < F.col("id")) & (apart <= int(WIDE_BLOCKS * bits * WIDE_RADIUS))
+    small, large = blocks.filter(F.col("count") <= SMALL), blocks.filter(F.col("count") > SMALL)
+    near = small.join(small.select("block", "key", F.col("id").alias("v"), *others), ["block", "key"]).filter(close).select(F.col("id").alias("u"), "v")
+    hubs = large.groupBy("block", "key", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(F.col("id").alias("v"), *others)).alias("h")).select("block", "key", "h.*")
+    far = large.join(hubs, ["block", "key"]).filter((F.col("v") != F.col("id")) & (apart <= int(WIDE_BLOCKS * bits * WIDE_RADIUS)))
+    far = far.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v"))
+    pairs = near.unionByName(far).distinct()
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [alike(x.as_py(), y.as_py()) >= ALIKE for x, y in zip(b.column("su"), b.column("sv"), strict=True)]
+            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(marks.select(F.col("id").alias("u"), F.col("sketch").alias("su")), "u").join(marks.select(F.col("id").alias("v"), F.col("sketch").alias("sv")), "v")
+    return both.select("u", "v", "su", "sv").mapInArrow(check, "u long, v long").unionByName(same)
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each family stays, that with the smallest id; rows without an id stay."""
-    found = stored(families(docs), "families")
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    """One document of each family stays, that with the smallest id; rows without an id stay.
+
+    Families are tied by close fingerprints (as in ``families``) and by five-word
+    shingles alike to four fifths (``near_links``).
+    """
+    tight = stored(families(docs), "families")
+    ties = tight.filter("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+    found = components(ties.unionByName(near_links(docs)))
+    gone = found.filter("node != component").select(F.col("node").alias("gone_id")).distinct()
     kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
-    twice = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
+    twice = tight.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
     if twice.isEmpty():
         return kept
     again = twice.select(F.col("doc_id").alias("gone_id"))
