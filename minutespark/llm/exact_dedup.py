@@ -154,15 +154,15 @@ def decisions(docs: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, with the columns they came with."""
     found = stored(decisions(docs), "exact-decisions")
-    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    same_id = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
+    kept = found.filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
+    same_id = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id"))
     if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return docs.join(kept, same_id, "left_semi")
     # ids that repeat: the text decides too, and of rows alike in both one stays
     sha = F.sha2(F.encode(normal_column(F.col("text")), "UTF-8"), 256)
-    left = docs.join(kept, same_id & (sha == F.col("kept_sha")), "left_semi")
-    twice = found.groupBy("doc_id", "text_sha256").count().filter("count > 1").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    alike = same_id & (sha == F.col("kept_sha"))
+    left = docs.join(kept, same_id & (sha == F.col("__kept_sha")), "left_semi")
+    twice = found.groupBy("doc_id", "text_sha256").count().filter("count > 1").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
+    alike = same_id & (sha == F.col("__kept_sha"))
     single = left.join(twice, alike, "left_anti")
     return single.unionByName(left.join(twice, alike, "left_semi").withColumn("__sha", sha).dropDuplicates(["doc_id", "__sha"]).drop("__sha"))
 

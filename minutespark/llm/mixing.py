@@ -110,25 +110,25 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, budg
         whole = math.floor(part + 1e-6)
         plan.append((s, whole, round(max(0.0, part - whole) * per[s]), weights[s]))
     spark = docs.sparkSession
-    plan = spark.createDataFrame(plan, "__s string, whole int, rest long, weight double")
+    plan = spark.createDataFrame(plan, "__s string, __whole int, __rest long, __share double")
     few = F.broadcast if len(per) <= FEW else (lambda df: df)
     # where the partial epoch ends: blocks before ``cut`` are taken whole, of that one ``room`` tokens
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = sums.withColumn("before", before).join(few(plan), F.col("source").eqNullSafe(F.col("__s"))).filter("rest > 0 and before + n > rest")
-    ends = ends.groupBy("source").agg(F.min(F.struct("__block", (F.col("rest") - F.col("before")).alias("room"))).alias("end"))
-    cut = F.when(F.col("rest") == 0, 0).otherwise(F.coalesce("end.__block", F.lit(BLOCKS))).alias("cut")
-    taken = plan.join(few(ends), F.col("__s").eqNullSafe(F.col("source")), "left").select("__s", "whole", "weight", cut, F.coalesce("end.room", F.lit(0)).alias("room"))
+    ends = sums.withColumn("before", before).join(few(plan), F.col("source").eqNullSafe(F.col("__s"))).filter("__rest > 0 and before + n > __rest")
+    ends = ends.groupBy("source").agg(F.min(F.struct("__block", (F.col("__rest") - F.col("before")).alias("room"))).alias("end"))
+    cut = F.when(F.col("__rest") == 0, 0).otherwise(F.coalesce("end.__block", F.lit(BLOCKS))).alias("__cut")
+    taken = plan.join(few(ends), F.col("__s").eqNullSafe(F.col("source")), "left").select("__s", "__whole", "__share", cut, F.coalesce("end.room", F.lit(0)).alias("__room"))
     dealt = rows.join(few(taken), F.col("source").eqNullSafe(F.col("__s")))
 
     columns = [F.col(c) for c in docs.columns]
-    extra = [F.col("__block"), F.col("__key").alias("__place"), F.col("weight").alias("__weight"), F.col("__tokens")]
+    extra = [F.col("__block"), F.col("__key").alias("__place"), F.col("__share").alias("__weight"), F.col("__tokens")]
     # whole epochs, and blocks that the partial epoch takes whole
-    count = F.col("whole") + (F.col("__block") < F.col("cut")).cast("int")
+    count = F.col("__whole") + (F.col("__block") < F.col("__cut")).cast("int")
     repeated = dealt.filter(count > 0).withColumn("__epoch", F.explode(F.sequence(F.lit(0), count - 1))).select(*columns, "__epoch", *extra)
     # the one block of a source where the budget ends: documents in order while they fit
-    edge = dealt.filter((F.col("__block") == F.col("cut")) & (F.col("room") > 0))
+    edge = dealt.filter((F.col("__block") == F.col("__cut")) & (F.col("__room") > 0))
     run = F.sum("__tokens").over(Window.partitionBy("__s", "__block").orderBy("__key", "doc_id", "__tokens").rowsBetween(Window.unboundedPreceding, 0))
-    last = edge.withColumn("__run", run).filter(F.col("__run") <= F.col("room")).withColumn("__epoch", F.col("whole")).select(*columns, "__epoch", *extra)
+    last = edge.withColumn("__run", run).filter(F.col("__run") <= F.col("__room")).withColumn("__epoch", F.col("__whole")).select(*columns, "__epoch", *extra)
     return repeated.unionByName(last)
 
 

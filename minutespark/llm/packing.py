@@ -232,7 +232,7 @@ class Places:
         ends = np.cumsum(a[:, 1])
         self.begins = ends - a[:, 1]  # over all lengths in turn
         firsts = np.searchsorted(self.length, np.arange(capacity + 2))
-        self.zero = np.append(self.begins, ends[-1:])[firsts]
+        self.zero = np.append(self.begins, ends[-1] if len(ends) else 0)[firsts]
         self.bins = base
 
     def __call__(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

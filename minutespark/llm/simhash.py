@@ -222,13 +222,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     tight = stored(families(docs), "families")
     ties = tight.filter("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
     found = components(ties.unionByName(near_links(docs)))
-    gone = found.filter("node != component").select(F.col("node").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    gone = found.filter("node != component").select(F.col("node").alias("__gone_id")).distinct()
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")
     twice = tight.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
     if twice.isEmpty():
         return kept
-    again = twice.select(F.col("doc_id").alias("gone_id"))
-    same = F.col("doc_id").cast("long") == F.col("gone_id")
+    again = twice.select(F.col("doc_id").alias("__gone_id"))
+    same = F.col("doc_id").cast("long") == F.col("__gone_id")
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
 
 

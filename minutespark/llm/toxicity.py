@@ -145,9 +145,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     return learn(*_sample(docs, labels))
 
 
-def scores(docs: DataFrame, machine: Machine) -> DataFrame:
-    """All columns of ``docs``, with ``toxicity`` from 0 to 1 last; one scan, no shuffle."""
-    made = {}
+def scores(docs: DataFrame, machine: Machine, name: str = "toxicity") -> DataFrame:
+    """All columns of ``docs``, with the score (0 to 1) last, in the place of any of its name; one scan, no shuffle."""
+    made, docs = {}, docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = made.setdefault("table", machine.lookup())
@@ -156,15 +156,15 @@ def scores(docs: DataFrame, machine: Machine) -> DataFrame:
             for t in b.column(b.schema.get_field_index("text")):
                 at = table[terms(t.as_py())]
                 out.append(machine.score(at[at >= 0]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, name])
 
-    schema = docs.withColumn("toxicity", F.lit(0.0)).schema
+    schema = docs.withColumn(name, F.lit(0.0)).schema
     return docs.mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score stays below THRESHOLD, with the columns they came with."""
-    return scores(docs, train(docs, labels)).filter(F.col("toxicity") < THRESHOLD).drop("toxicity")
+    return scores(docs, train(docs, labels), "__toxicity").filter(F.col("__toxicity") < THRESHOLD).drop("__toxicity")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
