@@ -67,7 +67,9 @@ def with_chunk_ids(chunks: DataFrame, first: int = 1) -> DataFrame:
     counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy("__b").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     # ranges of documents are summed apart, then the few ranges in turn
-    ranged = counts.repartitionByRange("doc_id").withColumn("__b", F.spark_partition_id())
+    # (a stated number of ranges: both uses of them below see the same ones)
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counts.repartitionByRange(n, "doc_id").withColumn("__b", F.spark_partition_id())
     before = ranged.withColumn("__in", F.coalesce(F.sum("__n").over(w), F.lit(0)))
     totals = before.groupBy("__b").agg(F.sum("__n").alias("__t"))
     base = totals.withColumn("__base", F.coalesce(F.sum("__t").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
