@@ -23,8 +23,11 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, keep: Sequence[st
     grouped aggregate that combines before the exchange.
     """
     columns = existing.columns
-    old = existing.select(key, F.struct(*columns).alias("old"), F.lit(None).cast(existing.select(F.struct(*columns)).schema[0].dataType).alias("new"))
-    new = incoming.select(key, F.lit(None).cast(old.schema["old"].dataType).alias("old"), F.struct(*[F.col(c).cast(existing.schema[c].dataType).alias(c) for c in columns]).alias("new"))
+    # by name of type: whether an array may hold nulls is no matter of casting
+    kinds = {f.name: f.dataType.simpleString() for f in existing.schema}
+    row = f"struct<{','.join(f'`{c}`:{k}' for c, k in kinds.items())}>"
+    old = existing.select(key, F.struct(*columns).cast(row).alias("old"), F.lit(None).cast(row).alias("new"))
+    new = incoming.select(key, F.lit(None).cast(row).alias("old"), F.struct(*[F.col(c).cast(kinds[c]).alias(c) for c in columns]).alias("new"))
     both = old.unionByName(new).groupBy(key).agg(F.first("old", ignorenulls=True).alias("old"), F.first("new", ignorenulls=True).alias("new"))
     picked = [F.coalesce(F.col(f"old.{c}"), F.col(f"new.{c}")).alias(c) if c in keep else F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in columns if c != key]
     return both.select(key, *picked).select(*columns)

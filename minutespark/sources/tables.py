@@ -39,11 +39,11 @@ def sample_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def eval_queries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVAL_QUERIES).option("header", True).csv(path)
+    return spark.read.schema(EVAL_QUERIES).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
 def write_eval_csv(results: DataFrame, path: str) -> None:
-    results.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    results.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def rank_lines(hits: DataFrame) -> list[str]:
