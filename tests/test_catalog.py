@@ -24,3 +24,16 @@ def test_runs(spark, name):
     assert len(set(first.columns)) == len(first.columns)
     rows = sorted(map(str, first.collect()))
     assert rows and rows == sorted(map(str, QUERIES[name](spark, DATA).collect()))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are absent")
+def test_plans(spark):
+    plan = lambda name: QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    found = plan("chunk_search_ministry")
+    assert "EqualTo(source,src3)" in found and "TakeOrderedAndProject" in found
+    # the texts of the meetings are not read for a chunk search
+    assert not any("text:string" in line for line in found.splitlines() if "ReadSchema" in line)
+    assert "LeftAnti" in plan("pending_embed") and "IsNotNull(text)" in plan("pending_embed")
+    for name in ("chunk_fixed", "bm25_scores", "html_regex_text", "cosine_scores", "json_strict_parse"):
+        assert ("ArrowEvalPython" in plan(name)) == (name == "html_regex_text"), name  # NFKC alone is Python
+    assert "Exchange" not in plan("chunk_fixed")
