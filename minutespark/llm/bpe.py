@@ -169,6 +169,8 @@ def text_groups(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> I
                 ids, held, size = [], [], 0
     if ids:
         yield ids, pa.concat_arrays(held)
+    held = []
+    pa.default_memory_pool().release_unused()
 
 
 def default_tokenizer() -> str:

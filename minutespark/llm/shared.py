@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: One space, tab, LF, VT, FF, CR: the white space of the contracts, for Java regexes.
 WS = r"[\x20\x09-\x0D]"
@@ -48,7 +49,27 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch.  Whole texts travel in them: the default of 10,000 rows
+#: would hold tens of MB of text in each task, twice, outside of the heap.
+BATCH_ROWS = 1000
+
+
 def require(df: DataFrame, names: Iterable[str]) -> None:
+    """Checks the columns, and bounds the batches in which rows go to Python."""
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows in the order of a hash of ``key``.
+
+    Where there are many more, a threshold on the hash thins them where they are
+    read, so that what is ordered is little more than ``n`` rows, not n a task.
+    """
+    h = F.xxhash64(key)
+    share = 1.2 * n / max(1, df.count())
+    if share < 1:
+        df = df.filter(F.pmod(F.shiftrightunsigned(h, 20), F.lit(1 << 40)) < int(share * (1 << 40)))
+    return df.orderBy(h, key).limit(n)
