@@ -91,6 +91,7 @@ class Vocabulary:
     ends: int
     class_n: np.ndarray  # tokens of each class
     class_v: np.ndarray  # distinct words of each class
+    floor: int  # words of lower classes of counts are not among the frequent
 
     def word_log(self, n: np.ndarray) -> np.ndarray:
         """log10 of the base probability of a token seen n times."""
@@ -102,9 +103,20 @@ class Vocabulary:
         return np.log10(self.n + SMOOTH * (self.v + 1)) - np.log10(own)
 
 
+def _rank_class(n: Column) -> Column:
+    """Counts in 32 classes an octave: at most some 2,000."""
+    return F.floor(F.log2(n) * 32).cast("int")
+
+
 def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
-    short = counts.filter(F.length("word") <= LONGEST)
-    top = short.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    # the lowest class of counts with which FREQUENT holds; no word is ordered for it
+    short = counts.filter(F.length("word") <= LONGEST).withColumn("c", _rank_class(F.col("n")))
+    held, floor = 0, 1 << 30
+    for r in sorted(short.groupBy("c").count().collect(), key=lambda r: -r.c):
+        if (held := held + r["count"]) > FREQUENT:
+            break
+        floor = r.c
+    top = short.filter(F.col("c") >= floor).select("word", "n").toArrow()  # at most FREQUENT rows
     order = sorted(zip((-n for n in top.column("n").to_pylist()), top.column("word").to_pylist(), strict=True))
     frequent = {bytes(w): -n for n, w in order}
     heads = {w: i + 1 for i, w in enumerate(list(frequent)[: HEADS - 1])}  # class 0 is the end
@@ -121,7 +133,7 @@ def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
         class_n[c] -= frequent[w]
         class_v[c] -= 1
     class_n[0], class_v[0] = n_docs, 1 if n_docs else 0
-    return Vocabulary(frequent, heads, total + n_docs, distinct + (1 if n_docs else 0), n_docs, class_n, class_v)
+    return Vocabulary(frequent, heads, total + n_docs, distinct + (1 if n_docs else 0), n_docs, class_n, class_v, floor)
 
 
 class Coder:
@@ -325,8 +337,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
 
     # rare words meet their counts, once a document
     rare = rows.select("at", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("at", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    least = min(frequent.values(), default=0)
-    table = counts.filter((F.col("n") <= least) | (F.length("word") > LONGEST))
+    table = counts.filter((_rank_class(F.col("n")) < vocab.floor) | (F.length("word") > LONGEST))
     denominator = float(vocab.n + SMOOTH * (vocab.v + 1))
     group = F.crc32(F.substring(F.col("word"), F.greatest(F.length("word") - 1, F.lit(1)), F.lit(2))) % TAILS
     within = F.element_at(F.array(*[F.lit(float(x)) for x in shift]), (group + 1).cast("int"))
