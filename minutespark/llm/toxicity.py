@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, require
+from .shared import bounded_sample, documents, require
 
 BUCKETS = 1 << 20
 #: Most labelled documents that the machine learns from.
@@ -124,7 +124,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.nd
     """Terms and labels of at most POSITIVES + NEGATIVES documents, whatever the tables hold."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y")).filter(~held_out(F.col("label_id")))
     totals = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    first = [known.filter(F.col("y") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(n) for y, n in ((1, POSITIVES), (0, NEGATIVES))]
+    first = [bounded_sample(known.filter(F.col("y") == y), "label_id", n) for y, n in ((1, POSITIVES), (0, NEGATIVES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
