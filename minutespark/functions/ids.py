@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The URL namespace of RFC 4122, in hex.
@@ -22,6 +22,5 @@ def is_uuid(x: Column) -> Column:
 
 
 def split_collisions(rows: DataFrame) -> DataFrame:
-    """Marks ``failed`` all rows but that of the smallest url under one doc_id."""
-    least = rows.groupBy("doc_id").agg(F.min("url").alias("__least"))
-    return rows.join(least, "doc_id").withColumn("failed", F.col("url") != F.col("__least")).drop("__least")
+    """Marks ``failed`` all rows but that of the smallest url under one doc_id (groups of a few rows)."""
+    return rows.withColumn("failed", F.col("url") != F.min("url").over(Window.partitionBy("doc_id")))

@@ -24,25 +24,32 @@ def statistics(docs: DataFrame, terms: Column) -> DataFrame:
 def search(docs: DataFrame, terms: Column, query: Sequence[str], key: str = "doc_id") -> DataFrame:
     """(key, score) of the documents that hold a query term, over the whole corpus.
 
-    Only the query's terms leave the scan; repeated query terms count again.  Terms
-    in over half of the documents have a negative idf, which EPSILON of the mean idf
-    over the query's terms replaces.
+    Two scans and no shuffle of rows: one for the statistics (a single row: documents,
+    mean length, and of each query term the documents that hold it), one that scores
+    each document where it is read.  Repeated query terms count again.  Terms in over
+    half of the documents have a negative idf, which EPSILON of the mean idf over the
+    query's terms replaces.
     """
-    spark = docs.sparkSession
-    asked = spark.createDataFrame([(t, query.count(t)) for t in dict.fromkeys(query)], "term string, times int")
-    wanted = F.array(*[F.lit(t) for t in dict.fromkeys(query)])
-    # one pass: per document its length, and of the query's terms the counts
+    asked = list(dict.fromkeys(query))
+    if not asked:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    wanted = F.array(*[F.lit(t) for t in asked])
     held = docs.select(key, terms.alias("terms")).select(key, F.size("terms").alias("dl"), F.filter("terms", lambda t: F.array_contains(wanted, t)).alias("hits"))
-    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = held.select(key, "dl", F.explode("hits").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(F.broadcast(stats)).select("term", "n", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    # at most one row a query term
-    weights = F.broadcast(idf.join(F.broadcast(asked), "term"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return tf.join(weights, "term").groupBy(key).agg(F.sum(part).alias("score"))
+    dfs = [F.sum(F.array_contains("hits", t).cast("long")).alias(f"df{i}") for i, t in enumerate(asked)]
+    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *dfs)
+    raw = [F.when(F.col(f"df{i}") > 0, F.log(F.col("n") - F.col(f"df{i}") + 0.5) - F.log(F.col(f"df{i}") + 0.5)).alias(f"raw{i}") for i in range(len(asked))]
+    stats = stats.select("avgdl", *raw)
+    known = F.array_compact(F.array(*[F.col(f"raw{i}") for i in range(len(asked))]))
+    mean = F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.size(known)
+    idf = [F.when(F.col(f"raw{i}") < 0, EPSILON * mean).otherwise(F.col(f"raw{i}")).alias(f"idf{i}") for i in range(len(asked))]
+    weights = F.broadcast(stats.select("avgdl", *idf))  # one row
+
+    def part(i: int, term: str) -> Column:
+        tf = F.size(F.filter("hits", lambda t: t == term))
+        return F.coalesce(query.count(term) * F.col(f"idf{i}") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))), F.lit(0.0))
+
+    total = sum((part(i, t) for i, t in enumerate(asked)), F.lit(0.0))
+    return held.filter(F.size("hits") > 0).join(weights).select(key, total.alias("score"))
 
 
 def rerank(candidates: DataFrame, terms: Column, query: Column, group: Sequence[str], key: str = "doc_id") -> DataFrame:

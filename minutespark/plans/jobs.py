@@ -39,9 +39,9 @@ def metadata_rows(texts: DataFrame) -> DataFrame:
         extract.agenda(F.col("t")).alias("agenda"),
         F.col("t").alias("discussion_text"),
     )
-    named = split_collisions(fields.filter(F.coalesce("url", F.lit("")) != ""))
-    skipped = fields.filter(F.coalesce("url", F.lit("")) == "").withColumn("status", F.lit("skipped"))
-    return named.withColumn("status", F.when(F.col("failed"), "failed").otherwise("ok")).drop("failed").unionByName(skipped)
+    skipped = F.coalesce("url", F.lit("")) == ""
+    status = F.when(skipped, "skipped").when(F.col("failed"), "failed").otherwise("ok")
+    return split_collisions(fields).withColumn("status", status).drop("failed")
 
 
 def normalize_pages(pages: DataFrame, metadata: DataFrame, limit: int | None = 100, refresh: bool = False) -> DataFrame:
