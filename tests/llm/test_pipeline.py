@@ -38,3 +38,46 @@ def test_stages(spark):
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_against_brute_force(spark, tmp_path):
+    """Planted toxic documents, exact and near copies go; every other document is packed, whole."""
+    import random
+    import zlib
+    from collections import defaultdict
+
+    import numpy as np
+
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(4000)]
+    clean = {i: [rng.choice(vocab) for _ in range(rng.randrange(150, 400))] for i in range(140)}
+    docs = [(i, " ".join(w), "en", f"s{min(i % 8, 3)}") for i, w in clean.items()]
+    toxic = {i: [rng.choice(vocab) for _ in range(200)] + rng.sample(["vileword", "badinsult", "nastyterm"], 2) for i in range(200, 290)}
+    docs += [(i, " ".join(w), "en", "s0") for i, w in toxic.items()]
+    docs += [(300 + i, " ".join(clean[i % 5]).replace(" ", "\t \n"), "en", "s1") for i in range(30)]
+    for i in range(30):
+        near = list(clean[10 + i % 3])
+        near[rng.randrange(len(near))] = rng.choice(vocab)
+        docs.append((400 + i, " ".join(near), "en", "s2"))
+    rows = spark.createDataFrame([(*d, len(d[1])) for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 1, int(i in toxic)) for i in [*clean, *toxic]]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(clean)
+    e = bpe.Encoder(bpe.default_tokenizer())
+    ids = {i: np.append(x.astype("<u4"), np.uint32(0)) for (i, *_), x in zip(docs, e.encode([d[1] for d in docs]), strict=True)}
+    times, bins = defaultdict(int), defaultdict(list)
+    for r in got:
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length])
+        times[r.doc_id] += r.length
+        bins[r.sequence_id].append((r.offset, r.length))
+    # each document whole, once or twice
+    assert all(n in (len(ids[i]), 2 * len(ids[i])) for i, n in times.items())
+    for b in bins.values():
+        at = 0
+        for o, n in sorted(b):
+            assert o == at
+            at += n
+        assert at <= 2048
