@@ -186,10 +186,10 @@ def near_links(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *cols, pa.array(marks, pa.binary())], ["doc_id", *names, "sketch"])
 
     marked = rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", sketch binary")
-    raw = stored(marked, "wide")
-    heads = stored(raw.groupBy(*names, F.xxhash64("sketch").alias("mark")).agg(F.min("doc_id").alias("id")), "wide-heads")
-    marks = raw.select(F.col("doc_id").alias("id"), *names, "sketch").join(heads.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "sketch")
-    same = raw.join(heads, [*[raw[n] == heads[n] for n in names], F.xxhash64(raw["sketch"]) == heads["mark"]]).select(F.col("doc_id").alias("u"), F.col("id").alias("v")).filter("u != v")
+    raw = stored(marked.withColumn("mark", F.xxhash64("sketch")), "wide")
+    heads = stored(raw.groupBy(*names, "mark").agg(F.min("doc_id").alias("id")), "wide-heads")
+    marks = raw.select(F.col("doc_id").alias("id"), "sketch")
+    same = raw.select("doc_id", *names, "mark").join(heads, [*names, "mark"]).select(F.col("doc_id").alias("u"), F.col("id").alias("v")).filter("u != v")
 
     keyed = heads.select("id", *names, F.posexplode(F.array(*keys)).alias("block", "key"))
     sizes = keyed.groupBy("block", "key").count().filter("count > 1")
@@ -202,13 +202,16 @@ def near_links(docs: DataFrame) -> DataFrame:
     hubs = large.groupBy("block", "key", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(F.col("id").alias("v"), *others)).alias("h")).select("block", "key", "h.*")
     far = large.join(hubs, ["block", "key"]).filter((F.col("v") != F.col("id")) & (apart <= int(WIDE_BLOCKS * bits * WIDE_RADIUS)))
     far = far.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v"))
-    pairs = near.unionByName(far).distinct()
+    pairs = stored(near.unionByName(far).distinct(), "wide-pairs")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = [alike(x.as_py(), y.as_py()) >= ALIKE for x, y in zip(b.column("su"), b.column("sv"), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
+    # sketches of the nominated alone
+    asked = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    marks = marks.join(asked, "id", "left_semi").groupBy("id").agg(F.min("sketch").alias("sketch"))
     both = pairs.join(marks.select(F.col("id").alias("u"), F.col("sketch").alias("su")), "u").join(marks.select(F.col("id").alias("v"), F.col("sketch").alias("sv")), "v")
     return both.select("u", "v", "su", "sv").mapInArrow(check, "u long, v long").unionByName(same)
 
