@@ -121,8 +121,8 @@ def families(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 #: Blocks of a wide fingerprint, and the share of differing bits that still nominates.
 WIDE_BLOCKS, WIDE_RADIUS = 16, 0.125
-#: Smallest hashes of a document's shingles that decide, and the similarity they must show.
-SKETCH, ALIKE, WORDS = 256, 0.8, 5
+#: The similarity that links, and the words of a shingle.
+ALIKE, WORDS = 0.8, 5
 #: Members that stand for a family too large to be joined with itself.
 HUBS = 4
 
@@ -149,14 +149,45 @@ def wide_fingerprint(text: str | None, bits: int) -> np.ndarray:
 
 
 def sketch(text: str | None) -> bytes:
-    return np.unique(shingle_hashes(text, WORDS).astype(np.uint32))[:SKETCH].astype("<u4").tobytes()
+    """The distinct hashes of a text's shingles, all of them, in order."""
+    return np.unique(shingle_hashes(text, WORDS)).astype("<u8").tobytes()
+
+
+def mark(shingles: bytes) -> int:
+    """Names a set of shingles, as a signed 64-bit number."""
+    from xxhash import xxh3_64_intdigest
+
+    x = xxh3_64_intdigest(shingles)
+    return x - (1 << 64) if x >> 63 else x
 
 
 def alike(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets: exact up to SKETCH shingles, else estimated from the smallest hashes of both."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    union = np.union1d(x, y)[:SKETCH] if max(len(x), len(y)) == SKETCH else np.union1d(x, y)
-    return float(np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean()) if len(union) else 0.0
+    """Jaccard similarity of two shingle sets."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 0.0
+
+
+def verified(rows: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of marks whose whole shingle sets are alike to ALIKE or more; ``heads`` leads from a mark to a row."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sketch(t.as_py()) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array([mark(x) for x in found], pa.int64()), pa.array(found, pa.binary())], ["mark", "shingles"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [alike(x.as_py(), y.as_py()) >= ALIKE for x, y in zip(b.column("su"), b.column("sv"), strict=True)]
+            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    # sets of the nominated alone; a repeated id may bring others, which meet no pair
+    asked = pairs.select(F.col("u").alias("mark")).unionByName(pairs.select(F.col("v").alias("mark"))).distinct()
+    ids = heads.join(asked, "mark", "left_semi").select(F.col("id").alias("doc_id")).distinct()
+    found = stored(rows.join(ids, "doc_id", "left_semi").select("text").mapInArrow(sets, "mark long, shingles binary"), "sets")
+    found = found.groupBy("mark").agg(F.min("shingles").alias("shingles"))
+    both = pairs.join(found.select(F.col("mark").alias("u"), F.col("shingles").alias("su")), "u").join(found.select(F.col("mark").alias("v"), F.col("shingles").alias("sv")), "v")
+    return both.select("u", "v", "su", "sv").mapInArrow(check, "u long, v long")
 
 
 def near_links(docs: DataFrame) -> DataFrame:
@@ -164,7 +195,8 @@ def near_links(docs: DataFrame) -> DataFrame:
 
     Wide fingerprints nominate: documents that share a block and differ in at most
     an eighth of all bits.  Families too large for a block are compared with HUBS of
-    their members.  Rows alike in fingerprint and sketch are collapsed first.
+    their members.  The whole shingle sets of the nominated decide.  Rows of equal
+    sets are collapsed first.
     Texts without words link to nothing.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
@@ -181,39 +213,30 @@ def near_links(docs: DataFrame) -> DataFrame:
                 if t and t.strip(" \t\n\v\f\r"):
                     ids.append(i.as_py())
                     prints.append(wide_fingerprint(t, bits))
-                    marks.append(sketch(t))
+                    marks.append(mark(sketch(t)))
             cols = [pa.array([int(x[k]) for x in prints], pa.int64()) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *cols, pa.array(marks, pa.binary())], ["doc_id", *names, "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *cols, pa.array(marks, pa.int64())], ["doc_id", *names, "mark"])
 
-    marked = rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", sketch binary")
-    raw = stored(marked.withColumn("mark", F.xxhash64("sketch")), "wide")
-    heads = stored(raw.groupBy(*names, "mark").agg(F.min("doc_id").alias("id")), "wide-heads")
-    marks = raw.select(F.col("doc_id").alias("id"), "sketch")
-    same = raw.select("doc_id", *names, "mark").join(heads, [*names, "mark"]).select(F.col("doc_id").alias("u"), F.col("id").alias("v")).filter("u != v")
+    raw = stored(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", mark long"), "wide")
+    heads = stored(raw.groupBy("mark").agg(F.min("doc_id").alias("id"), *[F.min(n).alias(n) for n in names]), "wide-heads")
+    same = raw.select("doc_id", "mark").join(heads, "mark").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).filter("u != v")
 
-    keyed = heads.select("id", *names, F.posexplode(F.array(*keys)).alias("block", "key"))
+    keyed = heads.select("mark", *names, F.posexplode(F.array(*keys)).alias("block", "key"))
     sizes = keyed.groupBy("block", "key").count().filter("count > 1")
     blocks = stored(keyed.join(sizes, ["block", "key"]), "wide-blocks")
     others = [F.col(n).alias(f"o{n}") for n in names]
     apart = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"o{n}"))) for n in names[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("ow0"))))
-    close = (F.col("v") < F.col("id")) & (apart <= int(WIDE_BLOCKS * bits * WIDE_RADIUS))
+    close = (F.col("v") < F.col("mark")) & (apart <= int(WIDE_BLOCKS * bits * WIDE_RADIUS))
     small, large = blocks.filter(F.col("count") <= SMALL), blocks.filter(F.col("count") > SMALL)
-    near = small.join(small.select("block", "key", F.col("id").alias("v"), *others), ["block", "key"]).filter(close).select(F.col("id").alias("u"), "v")
-    hubs = large.groupBy("block", "key", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(F.col("id").alias("v"), *others)).alias("h")).select("block", "key", "h.*")
-    far = large.join(hubs, ["block", "key"]).filter((F.col("v") != F.col("id")) & (apart <= int(WIDE_BLOCKS * bits * WIDE_RADIUS)))
-    far = far.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v"))
+    near = small.join(small.select("block", "key", F.col("mark").alias("v"), *others), ["block", "key"]).filter(close).select(F.col("mark").alias("u"), "v")
+    hubs = large.groupBy("block", "key", F.pmod(F.xxhash64("mark"), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(F.col("mark").alias("v"), *others)).alias("h")).select("block", "key", "h.*")
+    far = large.join(hubs, ["block", "key"]).filter((F.col("v") != F.col("mark")) & (apart <= int(WIDE_BLOCKS * bits * WIDE_RADIUS)))
+    far = far.select(F.greatest("mark", "v").alias("u"), F.least("mark", "v").alias("v"))
     pairs = stored(near.unionByName(far).distinct(), "wide-pairs")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = [alike(x.as_py(), y.as_py()) >= ALIKE for x, y in zip(b.column("su"), b.column("sv"), strict=True)]
-            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    # sketches of the nominated alone
-    asked = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    marks = marks.join(asked, "id", "left_semi").groupBy("id").agg(F.min("sketch").alias("sketch"))
-    both = pairs.join(marks.select(F.col("id").alias("u"), F.col("sketch").alias("su")), "u").join(marks.select(F.col("id").alias("v"), F.col("sketch").alias("sv")), "v")
-    return both.select("u", "v", "su", "sv").mapInArrow(check, "u long, v long").unionByName(same)
+    named = heads.select("mark", "id")
+    found = verified(rows, heads, pairs)
+    found = found.join(named.select(F.col("mark").alias("u"), F.col("id").alias("a")), "u").join(named.select(F.col("mark").alias("v"), F.col("id").alias("b")), "v")
+    return found.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same)
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
