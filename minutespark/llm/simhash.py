@@ -123,6 +123,8 @@ def families(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 WIDE_BLOCKS, WIDE_RADIUS = 16, 0.125
 #: The similarity that links, and the words of a shingle.
 ALIKE, WORDS = 0.8, 5
+#: Documents in whose texts common shingles are looked for, and how many of these are told apart.
+SAMPLE, COMMON = 20_000, 1 << 18
 #: Members that stand for a family too large to be joined with itself.
 HUBS = 4
 
@@ -190,38 +192,100 @@ def verified(rows: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("u", "v", "su", "sv").mapInArrow(check, "u long, v long")
 
 
+def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles in the order of their rank (0 unless in ``common``), then of their hash.
+
+    Two sets alike to ALIKE have one in common among the first n - ceil(ALIKE * n) + 1,
+    whatever the order is, if it is one for all sets.
+    """
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        shingles = shingles[np.lexsort((shingles, np.where(common[at] == shingles, rank[at], 0)))]
+    return shingles[: len(shingles) + (-4 * len(shingles) // 5) + 1]
+
+
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that repeat in a sample of about SAMPLE documents, at most COMMON of them, and in how many documents they stand.
+
+    They only order the shingles, the rare first: no result depends on the sample.
+    """
+    share = SAMPLE / max(1, rows.count())
+    if share < 1:
+        rows = rows.filter(F.pmod(F.shiftrightunsigned(F.xxhash64("doc_id"), 20), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.concatenate([np.unique(shingle_hashes(t.as_py(), WORDS)) for t in b.column("text")] or [np.empty(0, np.uint64)])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["key"])
+
+    found = stored(rows.select("text").mapInArrow(run, "key long").groupBy("key").count().filter("count > 1"), "common")
+    least, left = 2, COMMON
+    for r in found.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).toLocalIterator():
+        left -= r.n
+        if left < 0:
+            least = r["count"] + 1
+            break
+    got = found.filter(F.col("count") >= least).toArrow()
+    keys, counts = got.column("key").to_numpy().view(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+#: Both sets of a pair that stands in a group may still share enough: the shingle that
+#: they share first has no more of them behind it than either set has left.
+_WITHIN = "9 * least(n - pos, n2 - pos2) >= 4 * (n + n2)"
+
+
+def groups(sets: DataFrame) -> DataFrame:
+    """key, mark, n, pos and ``count`` of every prefix shingle that several sets have; ``sets``: mark, n, keys."""
+    keyed = sets.select("mark", "n", F.posexplode("keys").alias("pos", "key"))
+    sizes = keyed.groupBy("key").count().filter("count > 1")
+    return stored(keyed.join(sizes, "key"), "groups")
+
+
+def nominated(members: DataFrame) -> DataFrame:
+    """All pairs (u, v) of sets that may be alike to ALIKE or more, of those in ``groups``."""
+    other = members.select("key", F.col("mark").alias("v"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
+    return members.select("key", F.col("mark").alias("u"), "n", "pos").join(other, "key").filter("v < u").filter(_WITHIN).select("u", "v").distinct()
+
+
 def near_links(docs: DataFrame) -> DataFrame:
     """Links (u, v) between documents whose five-word shingles are alike to ALIKE or more.
 
-    Wide fingerprints nominate: documents that share a block and differ in at most
-    an eighth of all bits.  Families too large for a block are compared with HUBS of
-    their members.  The whole shingle sets of the nominated decide.  Rows of equal
+    Sets that share one of their rarest shingles (``prefix``) are nominated, which
+    misses no such pair.  Wide fingerprints nominate more: documents that share a
+    block and differ in at most an eighth of all bits; families too large for a
+    block are compared with HUBS of their members.  The whole shingle sets of the nominated decide.  Rows of equal
     sets are collapsed first.
     Texts without words link to nothing.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    common, rank = common_shingles(rows)
     bits = wide_bits(rows.count())
     names = [f"w{i}" for i in range(WIDE_BLOCKS * bits // 64)]
     per = 64 // bits
-    keys = [F.shiftrightunsigned(F.col(names[i // per]), i % per * bits).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(WIDE_BLOCKS)]
+    block_keys = [F.shiftrightunsigned(F.col(names[i // per]), i % per * bits).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(WIDE_BLOCKS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, prints, marks = [], [], []
+            ids, prints, marks, sizes, keys = [], [], [], [], []
             for i, t in zip(b.column("doc_id"), b.column("text"), strict=True):
                 t = t.as_py()
                 if t and t.strip(" \t\n\v\f\r"):
                     ids.append(i.as_py())
                     prints.append(wide_fingerprint(t, bits))
-                    marks.append(mark(sketch(t)))
+                    whole = sketch(t)
+                    marks.append(mark(whole))
+                    sizes.append(len(whole) // 8)
+                    keys.append(prefix(np.frombuffer(whole, "<u8"), common, rank).view(np.int64))
             cols = [pa.array([int(x[k]) for x in prints], pa.int64()) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *cols, pa.array(marks, pa.int64())], ["doc_id", *names, "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *cols, pa.array(marks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", *names, "mark", "n", "keys"])
 
-    raw = stored(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", mark long"), "wide")
-    heads = stored(raw.groupBy("mark").agg(F.min("doc_id").alias("id"), *[F.min(n).alias(n) for n in names]), "wide-heads")
+    raw = stored(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", mark long, n int, keys array<long>"), "wide")
+    heads = stored(raw.groupBy("mark").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), *[F.min(n).alias(n) for n in names]), "wide-heads")
     same = raw.select("doc_id", "mark").join(heads, "mark").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).filter("u != v")
 
-    keyed = heads.select("mark", *names, F.posexplode(F.array(*keys)).alias("block", "key"))
+    keyed = heads.select("mark", *names, F.posexplode(F.array(*block_keys)).alias("block", "key"))
     sizes = keyed.groupBy("block", "key").count().filter("count > 1")
     blocks = stored(keyed.join(sizes, ["block", "key"]), "wide-blocks")
     others = [F.col(n).alias(f"o{n}") for n in names]
@@ -232,7 +296,7 @@ def near_links(docs: DataFrame) -> DataFrame:
     hubs = large.groupBy("block", "key", F.pmod(F.xxhash64("mark"), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(F.col("mark").alias("v"), *others)).alias("h")).select("block", "key", "h.*")
     far = large.join(hubs, ["block", "key"]).filter((F.col("v") != F.col("mark")) & (apart <= int(WIDE_BLOCKS * bits * WIDE_RADIUS)))
     far = far.select(F.greatest("mark", "v").alias("u"), F.least("mark", "v").alias("v"))
-    pairs = stored(near.unionByName(far).distinct(), "wide-pairs")
+    pairs = stored(near.unionByName(far).unionByName(nominated(groups(heads))).distinct(), "wide-pairs")
     named = heads.select("mark", "id")
     found = verified(rows, heads, pairs)
     found = found.join(named.select(F.col("mark").alias("u"), F.col("id").alias("a")), "u").join(named.select(F.col("mark").alias("v"), F.col("id").alias("b")), "v")

@@ -46,3 +46,41 @@ def test_long_pairs_are_verified_whole(spark):
         if i % 2:
             want.add((2 * i + 1, 2 * i))
     assert found(spark, docs) == want
+
+
+def brute(docs):
+    ids = sorted(docs)
+    return {(b, a) for i, a in enumerate(ids) for b in ids[i + 1 :] if jaccard(docs[a], docs[b]) >= 0.8}
+
+
+def test_added_and_replaced_passages(spark):
+    """Passages of other texts, appended, put before or in the place of others: all pairs of brute force."""
+    rng = random.Random(12)
+    vocab = make(rng, 3000)
+    docs = {}
+    for i in range(120):
+        base = [rng.choice(vocab) for _ in range(rng.randrange(40, 900))]
+        n = len(base)
+        other = [rng.choice(vocab) for _ in range(int(n * rng.uniform(0.1, 0.3)))]
+        at = rng.randrange(n - len(other) // 2)
+        docs[2 * i] = base
+        docs[2 * i + 1] = [base + other, other + base, base[:at] + other[: len(other) // 2] + base[at + len(other) // 2 :]][i % 3]
+    assert len(brute(docs)) > 60
+    assert found(spark, docs) == brute(docs)
+
+
+def test_prefixes_of_alike_sets_meet():
+    rng = random.Random(13)
+    import numpy as np
+
+    for _ in range(2000):
+        both = rng.randrange(1, 60)
+        a, b = rng.randrange(both // 8 + 2), rng.randrange(both // 8 + 2)
+        if both < 0.8 * (both + a + b):
+            continue
+        pool = rng.sample(range(1000), both + a + b)
+        x, y = (np.array(sorted(p), dtype=np.uint64) for p in (pool[: both + a], pool[:both] + pool[both + a :]))
+        common = np.array(sorted(rng.sample(range(1000), 300)), dtype=np.uint64)
+        rank = np.array([rng.randrange(2, 9) for _ in common])
+        for order in ((common, rank), (common[:0], rank[:0])):
+            assert set(simhash.prefix(x, *order).tolist()) & set(simhash.prefix(y, *order).tolist())
