@@ -119,35 +119,10 @@ def families(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 # --- looser copies: five-word shingles alike to four fifths
 
-#: Blocks of a wide fingerprint, and the share of differing bits that still nominates.
-WIDE_BLOCKS, WIDE_RADIUS = 16, 0.125
 #: The similarity that links, and the words of a shingle.
 ALIKE, WORDS = 0.8, 5
 #: Documents in whose texts common shingles are looked for, and how many of these are told apart.
 SAMPLE, COMMON = 20_000, 1 << 18
-#: Members that stand for a family too large to be joined with itself.
-HUBS = 4
-
-
-def wide_bits(n: int) -> int:
-    """Bits of a block, so that few unrelated documents share one by chance."""
-    return 16 if n < 1 << 20 else 32
-
-
-def wide_fingerprint(text: str | None, bits: int) -> np.ndarray:
-    """SimHash of the distinct words, as signed 64-bit numbers.
-
-    A changed word changes one of many words, but five shingles: close copies stay
-    closer than by their shingles.
-    """
-    from xxhash import xxh3_128_digest
-
-    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
-    size = WIDE_BLOCKS * bits // 8
-    raw = b"".join([xxh3_128_digest(w, seed) for w in words for seed in range(size // 16)])
-    on = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, size), axis=1)
-    total = sum(on[at : at + 255].sum(axis=0, dtype=np.uint8).astype(np.int64) for at in range(0, len(on), 255))
-    return np.packbits(total * 2 > len(words)).view("<i8")
 
 
 def sketch(text: str | None) -> bytes:
@@ -253,53 +228,32 @@ def near_links(docs: DataFrame) -> DataFrame:
     """Links (u, v) between documents whose five-word shingles are alike to ALIKE or more.
 
     Sets that share one of their rarest shingles (``prefix``) are nominated, which
-    misses no such pair.  Wide fingerprints nominate more: documents that share a
-    block and differ in at most an eighth of all bits; families too large for a
-    block are compared with HUBS of their members.  The whole shingle sets of the nominated decide.  Rows of equal
-    sets are collapsed first.
-    Texts without words link to nothing.
+    misses no such pair at any number of rows.  The whole shingle sets of the
+    nominated decide.  Rows of equal sets are collapsed first.  Texts without words
+    link to nothing.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     common, rank = common_shingles(rows)
-    bits = wide_bits(rows.count())
-    names = [f"w{i}" for i in range(WIDE_BLOCKS * bits // 64)]
-    per = 64 // bits
-    block_keys = [F.shiftrightunsigned(F.col(names[i // per]), i % per * bits).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(WIDE_BLOCKS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, prints, marks, sizes, keys = [], [], [], [], []
+            ids, marks, sizes, keys = [], [], [], []
             for i, t in zip(b.column("doc_id"), b.column("text"), strict=True):
-                t = t.as_py()
-                if t and t.strip(" \t\n\v\f\r"):
+                whole = sketch(t.as_py())
+                if whole:
                     ids.append(i.as_py())
-                    prints.append(wide_fingerprint(t, bits))
-                    whole = sketch(t)
                     marks.append(mark(whole))
                     sizes.append(len(whole) // 8)
                     keys.append(prefix(np.frombuffer(whole, "<u8"), common, rank).view(np.int64))
-            cols = [pa.array([int(x[k]) for x in prints], pa.int64()) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *cols, pa.array(marks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", *names, "mark", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "n", "keys"])
 
-    raw = stored(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", mark long, n int, keys array<long>"), "wide")
-    heads = stored(raw.groupBy("mark").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), *[F.min(n).alias(n) for n in names]), "wide-heads")
+    raw = stored(rows.mapInArrow(run, "doc_id long, mark long, n int, keys array<long>"), "prefixes")
+    heads = stored(raw.groupBy("mark").agg(F.min("doc_id").alias("id")), "prefix-heads")
     same = raw.select("doc_id", "mark").join(heads, "mark").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).filter("u != v")
-
-    keyed = heads.select("mark", *names, F.posexplode(F.array(*block_keys)).alias("block", "key"))
-    sizes = keyed.groupBy("block", "key").count().filter("count > 1")
-    blocks = stored(keyed.join(sizes, ["block", "key"]), "wide-blocks")
-    others = [F.col(n).alias(f"o{n}") for n in names]
-    apart = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"o{n}"))) for n in names[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("ow0"))))
-    close = (F.col("v") < F.col("mark")) & (apart <= int(WIDE_BLOCKS * bits * WIDE_RADIUS))
-    small, large = blocks.filter(F.col("count") <= SMALL), blocks.filter(F.col("count") > SMALL)
-    near = small.join(small.select("block", "key", F.col("mark").alias("v"), *others), ["block", "key"]).filter(close).select(F.col("mark").alias("u"), "v")
-    hubs = large.groupBy("block", "key", F.pmod(F.xxhash64("mark"), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(F.col("mark").alias("v"), *others)).alias("h")).select("block", "key", "h.*")
-    far = large.join(hubs, ["block", "key"]).filter((F.col("v") != F.col("mark")) & (apart <= int(WIDE_BLOCKS * bits * WIDE_RADIUS)))
-    far = far.select(F.greatest("mark", "v").alias("u"), F.least("mark", "v").alias("v"))
-    pairs = stored(near.unionByName(far).unionByName(nominated(groups(heads))).distinct(), "wide-pairs")
-    named = heads.select("mark", "id")
-    found = verified(rows, heads, pairs)
-    found = found.join(named.select(F.col("mark").alias("u"), F.col("id").alias("a")), "u").join(named.select(F.col("mark").alias("v"), F.col("id").alias("b")), "v")
+    sets = raw.join(heads.select("mark", F.col("id").alias("doc_id")), ["mark", "doc_id"], "left_semi").dropDuplicates(["mark"])
+    members = groups(sets)
+    found = verified(rows, heads, stored(nominated(members), "pairs"))
+    found = found.join(heads.select(F.col("mark").alias("u"), F.col("id").alias("a")), "u").join(heads.select(F.col("mark").alias("v"), F.col("id").alias("b")), "v")
     return found.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same)
 
 

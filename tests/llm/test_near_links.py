@@ -84,3 +84,21 @@ def test_prefixes_of_alike_sets_meet():
         rank = np.array([rng.randrange(2, 9) for _ in common])
         for order in ((common, rank), (common[:0], rank[:0])):
             assert set(simhash.prefix(x, *order).tolist()) & set(simhash.prefix(y, *order).tolist())
+
+
+@pytest.mark.parametrize("sample", [20_000, 100, 1])
+def test_links_do_not_depend_on_the_number_of_rows(spark, monkeypatch, sample):
+    """The same links where the sample of common shingles covers all, some or none of the rows."""
+    monkeypatch.setattr(simhash, "SAMPLE", sample, raising=False)
+    monkeypatch.setattr(simhash, "COMMON", 50, raising=False)
+    monkeypatch.setattr(simhash, "wide_bits", lambda n: 32, raising=False)
+    rng = random.Random(14)
+    docs, line = {}, make(rng, 30)
+    for i in range(100):
+        base = make(rng, rng.randrange(20, 300)) + line
+        copy = list(base)
+        for at in rng.sample(range(len(base)), max(1, len(base) // rng.randrange(30, 70))):
+            copy[at] = make(rng, 1)[0]
+        docs[2 * i], docs[2 * i + 1] = base, copy
+    assert len(brute(docs)) > 50
+    assert found(spark, docs) == brute(docs)
