@@ -123,6 +123,8 @@ def families(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 ALIKE, WORDS = 0.8, 5
 #: Documents in whose texts common shingles are looked for, and how many of these are told apart.
 SAMPLE, COMMON = 20_000, 1 << 18
+#: Members that the others of a crowded group are compared with first, and rows of a block of what is left.
+HUBS, BLOCK = 8, 256
 
 
 def sketch(text: str | None) -> bytes:
@@ -224,13 +226,42 @@ def nominated(members: DataFrame) -> DataFrame:
     return members.select("key", F.col("mark").alias("u"), "n", "pos").join(other, "key").filter("v < u").filter(_WITHIN).select("u", "v").distinct()
 
 
+def with_hubs(members: DataFrame) -> DataFrame:
+    """Of those pairs the ones with HUBS members of the group."""
+    slot = F.pmod(F.xxhash64("mark"), F.lit(HUBS)).alias("slot")
+    hubs = members.groupBy("key", slot).agg(F.min(F.struct(F.col("mark").alias("v"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))).alias("h")).select("key", "h.*")
+    far = members.join(hubs, "key").filter("v != mark").filter(_WITHIN)
+    return far.select(F.greatest("mark", "v").alias("u"), F.least("mark", "v").alias("v")).distinct()
+
+
+def across(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Of those pairs all that ``links`` do not tie already, directly or through others.
+
+    Each has a member outside the group's largest component, so such members alone
+    are compared with all.  Both sides are dealt into blocks of BLOCK rows.
+    """
+    tied = components(links)
+    parts = stored(members.drop("count").join(tied.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark")), "parts")
+    sizes = parts.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    most = most.select("key", F.col("top.component").alias("top"), F.ceil(F.col("m") / BLOCK).alias("all_blocks"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).alias("blocks"))
+    open_ = parts.join(most, "key")
+    place, every = lambda n: F.pmod(F.xxhash64("mark"), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = open_.filter("component != top").select("key", "mark", "n", "pos", "component", place("blocks").alias("a"), every("all_blocks").alias("b"))
+    right = open_.select("key", F.col("mark").alias("v"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("c2"), "top", place("all_blocks").alias("b"), every("blocks").alias("a"))
+    met = left.join(right, ["key", "a", "b"]).filter("component != c2 and (c2 = top or v < mark)").filter(_WITHIN)
+    return met.select(F.greatest("mark", "v").alias("u"), F.least("mark", "v").alias("v")).distinct()
+
+
 def near_links(docs: DataFrame) -> DataFrame:
-    """Links (u, v) between documents whose five-word shingles are alike to ALIKE or more.
+    """Links (u, v) between documents whose five-word shingles are alike to ALIKE or more,
+    as many as keep the components.
 
     Sets that share one of their rarest shingles (``prefix``) are nominated, which
     misses no such pair at any number of rows.  The whole shingle sets of the
-    nominated decide.  Rows of equal sets are collapsed first.  Texts without words
-    link to nothing.
+    nominated decide.  In a group of more than SMALL sets all are compared with a
+    few first; then every pair that is not tied by that.  Rows of equal sets are
+    collapsed first.  Texts without words link to nothing.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     common, rank = common_shingles(rows)
@@ -252,7 +283,12 @@ def near_links(docs: DataFrame) -> DataFrame:
     same = raw.select("doc_id", "mark").join(heads, "mark").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).filter("u != v")
     sets = raw.join(heads.select("mark", F.col("id").alias("doc_id")), ["mark", "doc_id"], "left_semi").dropDuplicates(["mark"])
     members = groups(sets)
-    found = verified(rows, heads, stored(nominated(members), "pairs"))
+    small, large = members.filter(F.col("count") <= SMALL), members.filter(F.col("count") > SMALL)
+    tried = stored(nominated(small).unionByName(with_hubs(large)).distinct(), "pairs")
+    found = stored(verified(rows, heads, tried), "alike")
+    if not large.isEmpty():
+        left = across(large, found).join(tried, ["u", "v"], "left_anti")
+        found = found.unionByName(verified(rows, heads, stored(left, "pairs")))
     found = found.join(heads.select(F.col("mark").alias("u"), F.col("id").alias("a")), "u").join(heads.select(F.col("mark").alias("v"), F.col("id").alias("b")), "v")
     return found.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same)
 

@@ -102,3 +102,39 @@ def test_links_do_not_depend_on_the_number_of_rows(spark, monkeypatch, sample):
         docs[2 * i], docs[2 * i + 1] = base, copy
     assert len(brute(docs)) > 50
     assert found(spark, docs) == brute(docs)
+
+
+def parts(ids, pairs):
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    return {i: root(i) for i in ids}
+
+
+@pytest.mark.parametrize(("hubs", "block"), [(4, 256), (1, 7)])
+def test_crowded_groups_lose_no_pair(spark, monkeypatch, hubs, block):
+    """A family whose members drift far from any few of it, and small families that share its shingles."""
+    monkeypatch.setattr(simhash, "HUBS", hubs)
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    monkeypatch.setattr(simhash, "COMMON", 0, raising=False)  # common shingles stand in the prefixes
+    rng = random.Random(15)
+    core = make(rng, 120)
+    docs, tail = {}, make(rng, 80)
+    for i in range(120):
+        docs[i] = core + tail
+        tail = list(tail)
+        at = rng.randrange(0, 72)
+        tail[at : at + 8] = make(rng, 8)
+    for i in range(200, 260, 2):
+        tail = make(rng, 70)
+        docs[i], docs[i + 1] = core + tail, core + tail[:-6] + make(rng, 8)
+    want = brute(docs)
+    assert 150 < len(want)
+    assert parts(docs, found(spark, docs)) == parts(docs, want)
