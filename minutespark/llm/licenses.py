@@ -3,7 +3,8 @@
 A text becomes its words (letters and digits, A-Z lowered) between single blanks.
 Rules are regexes over such words.  Each has a tier (its priority), a confidence
 and a keyword; only documents that hold a keyword are looked at, and only the
-rules of that keyword are tried on them.  Of overlapping detections, one whose
+rules of that keyword are tried on them.  A match holds its rule's keyword, or that
+of another rule of the same regex.  Of overlapping detections, one whose
 interval lies within that of a detection of the same or a better tier is dropped.
 
 Three plain phrases are always reported, whatever the rules find.
@@ -78,15 +79,15 @@ _NAMES = {
 _NOTICES = [
     ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd-3", "redistribution", r"neither the name of (?:[^ ]+ ){1,12}nor the names of (?:its|any) contributors may be used to endorse"),
+    ("bsd-3", "neither the name", r"neither the name of (?:[^ ]+ ){1,12}nor the names of (?:its|any) contributors may be used to endorse"),
     ("bsd-2", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("apache-2", "licensed", r"you may not use this file except in compliance with the licen[cs]e"),
+    ("apache-2", "in compliance with", r"you may not use this file except in compliance with the licen[cs]e"),
     ("gpl-3", "redistribute", r"redistribute it and or modify it under the terms of the gnu general public licen[cs]e(?: [^ ]+){1,14} version 3"),
     ("gpl-2", "redistribute", r"redistribute it and or modify it under the terms of the gnu general public licen[cs]e(?: [^ ]+){1,14} version 2"),
     ("zlib", "warranty", r"this software is provided as is without any express or implied warranty"),
     ("unlicense", "public domain", r"free and unencumbered software released into the public domain"),
     ("mpl-2", "subject", r"this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0"),
-    ("boost-1", "permission", r"boost software licen[cs]e version 1 0 august 17th 2003"),
+    ("boost-1", "boost software", r"boost software licen[cs]e version 1 0 august 17th 2003"),
     ("public-domain", "public domain", r"(?:is |are |been )?(?:placed |released |dedicated )?(?:in|into|to) the public domain"),
     ("all-rights-reserved", "rights reserved", r"all rights reserved"),
 ]
@@ -98,6 +99,7 @@ def rules() -> list[tuple[int, int, str, float, str, str]]:
     out += [(1, label, 0.98, "spdx", rf"spdx licen[cs]e identifier {tag}") for label, tag in ((x, x.replace("-", " ").replace("apache 2", "apache 2 0").replace("mpl 2", "mpl 2 0")) for x in _NAMES)]
     out += [(2, label, 0.95, word, grant + name) for (word, grant), (label, name) in product(_GRANT.items(), _NAMES.items())]
     out += [(3, label, 0.6, "cc by" if label.startswith("cc-by") else "cc0" if label == "cc0-1" else "unlicen" if label == "unlicense" else "licen", name) for label, name in _NAMES.items()]
+    out += [(3, label, 0.6, "gpl", name) for label, name in _NAMES.items() if "gpl" in label]
     out += [(3, label, 0.7, "creative commons", name) for label, name in _NAMES.items() if label.startswith("cc-by")]
     out += [(3, label, 0.5, word, regex) for label, word, regex in _NOTICES[-2:]]
     return [(n, *r) for n, r in enumerate(out)]
