@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,23 +50,25 @@ def explode_chunks(df: DataFrame, chunks: Column, name: str = "chunk_text") -> D
 
 
 def sentence_chunks(text: str | None, size: int = 2000, overlap: int = 200, min_size: int = MIN_SIZE) -> list[str]:
-    """Windows that end behind a full stop where one is near; the model of ``sentence_chunk_array``."""
+    """Windows that end behind a full stop where one is near; the model of ``sentence_chunk_array``.
+
+    All full stops are found in one pass; each window looks up the last within reach.
+    Only a window of ``min_size`` characters or more is overlapped by the next.
+    """
     text = text or ""
-    n, at, out = len(text), 0, []
-    if size <= 0 or n <= min_size:
+    if size <= 0 or len(text) <= min_size:
         return [text.strip()]
-    while at < n:
-        end = min(at + size, n)
-        stop = text.rfind("。", at, end)
-        if stop >= 0 and end - stop - 1 <= REACH:
-            end = stop + 1
-        part = text[at:end].strip()
-        if part:
-            out.append(part)
-        if end >= n:
-            break
-        at = max(end - overlap if len(part) >= min_size else end, at + 1)
-    return out
+    stops = [m.end() for m in re.finditer("。", text)]
+    pieces, begin, end = [], 0, 0
+    while end < len(text):
+        reach = min(begin + size, len(text))
+        last = bisect_right(stops, reach) - 1
+        near = last >= 0 and stops[last] > begin and stops[last] >= reach - REACH
+        end = stops[last] if near else reach
+        pieces.append(text[begin:end].strip())
+        back = overlap if len(pieces[-1]) >= min_size else 0
+        begin = max(begin + 1, end - back)
+    return [p for p in pieces if p]
 
 
 def sentence_chunk_array(x: Column, size: int = 2000, overlap: int = 200, min_size: int = MIN_SIZE) -> Column:

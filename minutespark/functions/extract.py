@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import W, lines, nfkc, one_line, strip
+from .text import ENDS, W, lines, nfkc, one_line, strip
 
 # They must equal those of the records' publishers and of the jobs
 # these functions replace.
@@ -37,9 +37,10 @@ AGENDA = "(議題|議事(?!要旨|概要|録))"
 MEETING_NO = rf"第[{W}]*([0-9０-９一二三四五六七八九十百千]+)[{W}]*回"
 ATTENDEES = rf"(?d)(出席者|出席委員)[：:\n][{W}]*(.+)"
 
-_D = r"(?U:\d)"
-ERA_DATE = rf"({'|'.join(ERAS)})[{W}]*({_D}+)年[{W}]*({_D}{{1,2}})月[{W}]*({_D}{{1,2}})日"
-WESTERN_DATE = rf"(20{_D}{{2}}|19{_D}{{2}})[年/\-.][{W}]*({_D}{{1,2}})[月/\-.][{W}]*({_D}{{1,2}})日?"
+_D = r"\p{Nd}"
+# what may begin a match is told by its first character
+ERA_DATE = rf"(?=[{''.join(e[0] for e in ERAS)}])({'|'.join(ERAS)})[{W}]*({_D}+)年[{W}]*({_D}{{1,2}})月[{W}]*({_D}{{1,2}})日"
+WESTERN_DATE = rf"(?=[12])((?:20|19){_D}{{2}})[年/\-.][{W}]*({_D}{{1,2}})[月/\-.][{W}]*({_D}{{1,2}})日?"
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 
 
@@ -51,10 +52,12 @@ def parse_date(x: Column, normalized: bool = False) -> Column:
     """The first era date, or if that is none of the calendar the first western one."""
     t = x if normalized else nfkc(x)
     eras = F.create_map(*[F.lit(v) for kv in ERAS.items() for v in kv])
-    year = (F.try_element_at(eras, _group(t, ERA_DATE, 1)) + _group(t, ERA_DATE, 2).try_cast("bigint")).cast("string")
-    era = F.concat_ws("-", F.lpad(year, 4, "0"), _group(t, ERA_DATE, 3), _group(t, ERA_DATE, 4))
-    western = F.concat_ws("-", *[_group(t, WESTERN_DATE, n) for n in (1, 2, 3)])
-    found = [F.when(F.length(year) <= 4, F.try_to_date(era, "yyyy-M-d")), F.try_to_date(western, "yyyy-M-d")]
+    # the text is searched once for either kind; the parts are read off the short match
+    era = _group(t, ERA_DATE, 0)
+    year = (F.try_element_at(eras, F.substring(era, 1, 2)) + _group(era, ERA_DATE, 2).try_cast("bigint")).cast("string")
+    day = F.concat_ws("-", F.lpad(year, 4, "0"), _group(era, ERA_DATE, 3), _group(era, ERA_DATE, 4))
+    western = F.regexp_replace(_group(t, WESTERN_DATE, 0), WESTERN_DATE, "$1-$2-$3")
+    found = [F.when(F.contains(t, F.lit("年")) & (F.length(year) <= 4), F.try_to_date(day, "yyyy-M-d")), F.try_to_date(western, "yyyy-M-d")]
     return F.coalesce(*found)
 
 
@@ -80,9 +83,11 @@ def ministry(url: Column, x: Column) -> Column:
 
 def title(x: Column) -> Column:
     """The first line with a word for meetings, else the first line that is not blank."""
-    filled = F.filter(F.transform(lines(x), strip), lambda s: s != "")
-    likely = F.filter(filled, lambda s: s.rlike("|".join(TITLE_WORDS)))
-    return F.substring(F.coalesce(F.get(likely, F.lit(0)), F.get(filled, F.lit(0))), 1, 200)
+    words = "|".join(TITLE_WORDS)
+    # only texts that hold a word are cut into lines
+    likely = F.when(x.rlike(words), F.get(F.filter(lines(x), lambda s: s.rlike(words)), F.lit(0)))
+    first = _group(x, rf"\A[{W}]*([^{ENDS}]+)", 1)
+    return F.substring(strip(F.coalesce(likely, first)), 1, 200)
 
 
 def meeting_no(x: Column) -> Column:
@@ -91,7 +96,8 @@ def meeting_no(x: Column) -> Column:
 
 def location(x: Column) -> Column:
     """What follows the colon of the first line that names a place, else that line; may be empty."""
-    line = F.get(F.filter(lines(x), lambda s: s.rlike("|".join(PLACE_WORDS))), F.lit(0))
+    words = "|".join(PLACE_WORDS)
+    line = F.when(x.rlike(words), F.get(F.filter(lines(x), lambda s: s.rlike(words)), F.lit(0)))
     return F.substring(strip(F.coalesce(F.get(F.split(line, "[:：]", 2), F.lit(1)), line)), 1, 200)
 
 
@@ -102,13 +108,11 @@ def attendees(x: Column) -> Column:
 
 def agenda(x: Column) -> Column:
     """200 characters from the first heading, up to the next one; empty if none, or if the heading itself stops it."""
-    t = F.coalesce(x, F.lit(""))
-    # characters before the heading, counted in code points
-    before = F.length(F.regexp_extract(t, f"(?s)\\A(.*?){AGENDA}", 1))
-    snippet = F.substring(t, before + 1, F.lit(200))
+    # a heading has two characters
+    snippet = F.regexp_extract(F.coalesce(x, F.lit("")), f"(?s){AGENDA}.{{0,198}}", 0)
     stops = F.filter(F.array(*[F.instr(snippet, k) for k in AGENDA_STOPS]), lambda p: p > 0)
     cut = F.when(F.size(stops) > 0, F.substring(snippet, F.lit(1), F.array_min(stops) - 1)).otherwise(snippet)
-    return F.when(t.rlike(AGENDA), strip(one_line(cut))).otherwise("")
+    return strip(one_line(cut))
 
 
 def json_list(x: Column) -> Column:

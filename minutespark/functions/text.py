@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 W = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where str.splitlines() splits.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-PAGE_NUMBER = rf"\A-?[{W}]*(?U:\d)+[{W}]*-?\z"
+#: Inside [...]: what ends a line; and all ends but the line feed.
+ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+OTHER_END = r"\r\n?|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: Inside [...]: white space that ends no line.
+H = r"\t\x1f\x20\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
+#: A whole line, between line feeds alone.
+PAGE_NUMBER = r"(?md)^-? ?\p{Nd}+ ?-?$\n?"
 FULL_WIDTH = "０１２３４５６７８９"
 
 
@@ -52,21 +58,24 @@ def half_width_digits(x: Column) -> Column:
     return F.translate(x, FULL_WIDTH, "0123456789")
 
 
-def _paragraphs_joined(parts: Column) -> Column:
-    return strip(F.regexp_replace(F.array_join(parts, "\n"), r"\n{3,}", "\n\n"))
+def _even(x: Column, normalized: bool) -> Column:
+    """One kind of line end, runs of other white space as one blank, none before a line end.  Whole texts at a time."""
+    t = F.coalesce(x if normalized else nfkc(x), F.lit(""))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, OTHER_END, "\n"), f"[{H}]+", " "), " \n", "\n")
+
+
+def _paragraphs(t: Column) -> Column:
+    return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
 def clean_text(x: Column, normalized: bool = False) -> Column:
     """NFKC; lines stripped, page numbers dropped, blanks collapsed; at most one empty line in a row."""
-    t = F.coalesce(x if normalized else nfkc(x), F.lit(""))
-    kept = F.filter(F.transform(lines(t), strip), lambda s: ~s.rlike(PAGE_NUMBER))
-    return _paragraphs_joined(F.transform(kept, collapse))
+    return _paragraphs(F.regexp_replace(F.regexp_replace(strip(_even(x, normalized)), "\n ", "\n"), PAGE_NUMBER, ""))
 
 
 def normalize_text(x: Column, normalized: bool = False) -> Column:
     """As clean_text, but only line ends are stripped and page numbers stay."""
-    t = F.coalesce(x if normalized else nfkc(x), F.lit(""))
-    return _paragraphs_joined(F.transform(lines(t), lambda s: collapse(rstrip(s))))
+    return _paragraphs(_even(x, normalized))
 
 
 def first_chars(x: Column, n: int) -> Column:

@@ -23,7 +23,8 @@ def tokens(x: Column, lower: bool = True) -> Column:
         runs,
         lambda r: F.when(r.rlike(r"\A[\p{IsHan}々]{3,}\z"), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))).otherwise(F.array(r)),
     )
-    return F.flatten(pairs)
+    # only texts with such a run pay for the pairs
+    return F.when(t.rlike(r"[\p{IsHan}々]{3}"), F.flatten(pairs)).otherwise(runs)
 
 
 def token_text(x: Column) -> Column:

@@ -33,10 +33,11 @@ def normalize_text(spark, sf_dir):
     return _docs(spark, sf_dir, _DIRTY).select("doc_id", text.normalize_text(F.col("x")).alias("normalized"))
 
 
-@query("SELECT doc_id, concat('第', doc_id, '回 ', text) AS nfkc, concat('第', doc_id, '回') AS half_width FROM documents")
+@query("SELECT doc_id, concat('第', doc_id, '回ガ1キロfiA株式会社é ', text) AS nfkc, concat('第', doc_id, '回') AS half_width FROM documents")
 def nfkc_digits(spark, sf_dir):
     d = _docs(spark, sf_dir, f"concat('第', {_DIGITS.format(s='STRING')}, '回')")
-    return d.select("doc_id", text.nfkc(F.concat("x", F.lit(" "), "text")).alias("nfkc"), text.half_width_digits(F.col("x")).alias("half_width"))
+    mixed = F.concat("x", F.lit("ｶﾞ①㌔ﬁＡ㍿e\u0301 "), "text")
+    return d.select("doc_id", text.nfkc(mixed).alias("nfkc"), text.half_width_digits(F.col("x")).alias("half_width"))
 
 
 _ERA = "CASE doc_id % 5 WHEN 0 THEN '令和' WHEN 1 THEN '平成' WHEN 2 THEN '昭和' WHEN 3 THEN '大正' ELSE '明治' END"
@@ -136,7 +137,13 @@ def html_regex_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", parse.html_to_text_plain(F.col("html")).alias("text"))
 
 
-@query()
+#: What the parser finds in these pages: the title, then the text nodes, one a line.
+_NODES = r"""regexp_replace(html, '(?is)(?:<style>.*?</style>|<script>.*?</script>|<!--.*?-->|<[^>]*>)+', chr(10), 'g')"""
+_PLAIN = f"""replace(replace(replace(replace(concat(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), {_NODES}), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"""
+PARSED = _CLEAN.format(x=_PLAIN)
+
+
+@query(f"SELECT page_id, {PARSED} AS text FROM pages")
 def html_text(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
     return p.select("page_id", parse.html_to_text(F.col("content")).alias("text"))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime
 import random
+import re
 import unicodedata
 import uuid
 
@@ -117,3 +118,49 @@ def test_settings(monkeypatch):
     assert Settings().embed_dim == 64
     with pytest.raises(ValueError):
         Settings(provider="other")
+
+
+def lines_model(x, clean):
+    """What clean_text and normalize_text do, line by line in Python."""
+    out = []
+    for line in unicodedata.normalize("NFKC", x).splitlines():
+        line = line.strip() if clean else line.rstrip()
+        if clean and re.fullmatch(r"-?\s*\d+\s*-?", line):
+            continue
+        out.append(re.sub(r"\s+", " ", line))
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
+
+
+def test_cleaning_equals_the_model(spark):
+    rng = random.Random(9)
+    pieces = [" ", "  ", "\t", "\n", "\n\n", "\r\n", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\u2028", "　", "\xa0", "-", "12", "３", "- 4 -", "a", "b c", "会議", "٣", "7-", "--8", "５ -"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 14))) for _ in range(1500)] + ["", "\n", "1\n2\n3", "a\n1\n\n2\nb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    for r in df.select("i", text.clean_text(F.col("x")).alias("c"), text.normalize_text(F.col("x")).alias("n")).collect():
+        assert r.c == lines_model(texts[r.i], True), repr(texts[r.i])
+        assert r.n == lines_model(texts[r.i], False), repr(texts[r.i])
+
+
+def test_sentence_chunks_by_their_rules():
+    rng = random.Random(2)
+    for _ in range(300):
+        n = rng.randrange(0, 9000)
+        body = "".join("。" if rng.random() < 0.005 else "x" for _ in range(n))
+        size, overlap = rng.choice([(2000, 200), (1600, 0), (400, 50)])
+        got = chunk.sentence_chunks(body, size, overlap)
+        if n <= chunk.MIN_SIZE:
+            assert got == [body]
+            continue
+        start = 0
+        for i, c in enumerate(got):
+            window = body[start : start + size]
+            assert window.startswith(c)
+            later = window[len(c) :]
+            if later:  # cut short: behind the last full stop, which is near the window's end
+                assert c.endswith("。") and "。" not in later and len(later) <= chunk.REACH
+            else:
+                assert c.endswith("。") or "。" not in c[-chunk.REACH - 1 :]
+            end = start + len(c)
+            assert (end == n) == (i == len(got) - 1)
+            start = max(start + 1, end - (overlap if len(c) >= chunk.MIN_SIZE else 0))
+    assert chunk.sentence_chunks(None) == [""] and chunk.sentence_chunks(" " + "x" * 3000, 0) == ["x" * 3000]
