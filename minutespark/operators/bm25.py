@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +14,40 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(docs: DataFrame, terms: Column, key: str = "doc_id") -> DataFrame:
-    """(key, term, tf, dl).  Document lengths come from the array, so one shuffle serves."""
-    t = docs.select(key, terms.alias("terms"))
-    return t.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    """(key, term, tf, dl) of documents with distinct keys.
+
+    All terms of a document stand in its row, so they are counted where they are
+    read, a batch at a time, and nothing is exchanged.
+    """
+    rows = docs.select(F.col(key), terms.alias("terms"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("terms")
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            coded = pc.list_flatten(lists).dictionary_encode()
+            pair = np.repeat(np.arange(len(size)), size) * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+            pair, n = np.unique(pair, return_counts=True)
+            row, term = np.divmod(pair, max(1, len(coded.dictionary)))
+            row_ = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row_), coded.dictionary.take(pa.array(term)), pa.array(n.astype(np.int64)), pa.array(size[row].astype(np.int32))], [key, "term", "tf", "dl"])
+
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, term string, tf long, dl int")
+
+
+def search_postings(postings: DataFrame, statistics: DataFrame, query: Sequence[str], key: str = "doc_id") -> DataFrame:
+    """As ``search``, from stored postings and statistics (one row): reads those of the query's terms alone."""
+    asked = list(dict.fromkeys(query))
+    if not asked:
+        return postings.select(key, F.lit(0.0).alias("score")).limit(0)
+    times = F.create_map(*[F.lit(x) for t in asked for x in (t, query.count(t))])
+    hits = postings.filter(F.col("term").isin(asked))
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each asked term
+    raw = df.join(F.broadcast(statistics)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = F.avg("raw").over(Window.partitionBy(F.lit(0)))
+    idf = raw.select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
+    part = F.element_at(times, F.col("term")) * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.join(F.broadcast(idf), "term").groupBy(key).agg(F.sum(part).alias("score"))
 
 
 def statistics(docs: DataFrame, terms: Column) -> DataFrame:

@@ -14,6 +14,10 @@ from ..config import Settings
 from ..functions.vector import l2_normalize
 
 
+#: The name of no model: digests.
+DIGEST = "digest"
+
+
 class Provider(Protocol):
     def embed(self, texts: Sequence[str]) -> list[list[float]]: ...
 
@@ -44,11 +48,47 @@ class RemoteProvider:
 
 
 def digest_embedding(text: Column, dim: int = 1536) -> Column:
-    """A unit vector that depends on the text alone: native, equal in every process."""
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.pmod(F.xxhash64(text, i), F.lit(2000001)) / 1e6 - 1)
+    """A unit vector that depends on the text alone: native, equal in every process and engine.
+
+    The text's SHA-256 with a block number after it is hashed once more for 16
+    components of 16 bits each.
+    """
+    base = F.sha2(F.coalesce(text, F.lit("")), 256)
+    blocks = F.transform(F.sequence(F.lit(0), F.lit((dim - 1) // 16)), lambda j: F.sha2(F.concat(base, F.lit(":"), j.cast("string")), 256))
+    quads = F.slice(F.flatten(F.transform(blocks, lambda h: F.regexp_extract_all(h, F.lit("...."), F.lit(0)))), 1, dim)
+    raw = F.transform(quads, lambda q: F.conv(q, 16, 10).cast("double") / 32767.5 - 1)
     return l2_normalize(raw).cast("array<float>")
 
 
+class LocalModel:
+    """A sentence model of this machine, where the library and the model are installed."""
+
+    def __init__(self, name: str):
+        self.name = name
+        self._model = None
+
+    @classmethod
+    def find(cls, name: str) -> LocalModel | None:
+        """None where no such model can be loaded."""
+        try:
+            import sentence_transformers
+
+            sentence_transformers.SentenceTransformer(name, local_files_only=True)
+        except Exception:  # noqa: BLE001  whatever is missing, digests take its place
+            return None
+        return cls(name)
+
+    def __getstate__(self):
+        return {"name": self.name, "_model": None}
+
+    def embed(self, texts: Sequence[str]) -> list[list[float]]:
+        if self._model is None:
+            from sentence_transformers import SentenceTransformer
+
+            self._model = SentenceTransformer(self.name, local_files_only=True)
+        return [[float(x) for x in v] for v in self._model.encode(list(texts), normalize_embeddings=True)]
+
+
 def embed_udf(provider: Provider):
     """An iterator UDF: the provider is opened once a worker, and gets whole Arrow batches."""
 
@@ -61,7 +101,9 @@ def embed_udf(provider: Provider):
 
 
 def embedding(text: Column, settings: Settings, provider: Provider | None = None) -> Column:
-    """By the settings: a given provider, or digests for ``local``; remote services need a client."""
+    """By the settings: a given provider; for ``local`` a model of this machine, else digests; remote services need a client."""
+    if provider is None and settings.provider == "local" and settings.embedding_model != DIGEST:
+        provider = LocalModel.find(settings.embedding_model)
     if provider is not None:
         return embed_udf(provider)(text)
     if settings.provider == "local":

@@ -20,7 +20,8 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, keep: Sequence[st
     """Incoming rows (one a key) replace existing ones; columns in ``keep`` stay as they were.
 
     One shuffle by the key: both sides are stacked and each key's rows merged by a
-    grouped aggregate that combines before the exchange.
+    grouped aggregate that combines before the exchange.  A null key, or one that a
+    side repeats, fails the write, as a unique constraint would.
     """
     columns = existing.columns
     # by name of type: whether an array may hold nulls is no matter of casting
@@ -28,7 +29,8 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, keep: Sequence[st
     row = f"struct<{','.join(f'`{c}`:{k}' for c, k in kinds.items())}>"
     old = existing.select(key, F.struct(*columns).cast(row).alias("old"), F.lit(None).cast(row).alias("new"))
     new = incoming.select(key, F.lit(None).cast(row).alias("old"), F.struct(*[F.col(c).cast(kinds[c]).alias(c) for c in columns]).alias("new"))
-    both = old.unionByName(new).groupBy(key).agg(F.first("old", ignorenulls=True).alias("old"), F.first("new", ignorenulls=True).alias("new"))
+    one = lambda side: F.when((F.count(side) > 1) | F.col(key).isNull(), F.raise_error(F.concat(F.lit(f"{key} is null or repeated: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))).otherwise(F.first(side, ignorenulls=True))
+    both = old.unionByName(new).groupBy(key).agg(one("old").cast(row).alias("old"), one("new").cast(row).alias("new"))
     picked = [F.coalesce(F.col(f"old.{c}"), F.col(f"new.{c}")).alias(c) if c in keep else F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in columns if c != key]
     return both.select(key, *picked).select(*columns)
 
@@ -65,15 +67,28 @@ def latest_status(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("doc_id").agg(last, F.max("updated_at").alias("updated_at")).select("doc_id", "s.status", "s.last_error", "updated_at")
 
 
+#: Ranges of documents whose chunks are numbered apart.
+RANGES = 256
+
+
+def _bounds(ids: DataFrame, ranges: int) -> list:
+    """At most ``ranges`` values that cut the ids into parts of about one size, by a sample of 64 a range."""
+    every = max(1, ids.count() // (64 * ranges))
+    sample = [r[0] for r in ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).orderBy("doc_id").collect()]
+    return list(dict.fromkeys(sample[:: max(1, len(sample) // ranges)]))[1:]
+
+
 def with_chunk_ids(chunks: DataFrame, first: int = 1) -> DataFrame:
-    """Ids in the order of (doc_id, pos): counts a document, then a running sum, so no row order is global."""
+    """Ids in the order of (doc_id, pos): counts a document, then a running sum, so no row order is global.
+
+    Ranges of documents are summed apart, then the few ranges in turn.  Their bounds
+    are constants of the plan, so a task that runs again finds the same ranges.
+    """
     counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
+    bounds = _bounds(counts.select("doc_id"), RANGES)
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
     w = Window.partitionBy("__b").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    # ranges of documents are summed apart, then the few ranges in turn
-    # (a stated number of ranges: both uses of them below see the same ones)
-    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(n, "doc_id").withColumn("__b", F.spark_partition_id())
-    before = ranged.withColumn("__in", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    before = counts.withColumn("__b", at).withColumn("__in", F.coalesce(F.sum("__n").over(w), F.lit(0)))
     totals = before.groupBy("__b").agg(F.sum("__n").alias("__t"))
     base = totals.withColumn("__base", F.coalesce(F.sum("__t").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     starts = before.join(base, "__b").select("doc_id", (F.col("__base") + F.col("__in") + first).alias("__start"))
@@ -81,15 +96,40 @@ def with_chunk_ids(chunks: DataFrame, first: int = 1) -> DataFrame:
     return chunks.join(starts, "doc_id").withColumn("chunk_id", F.col("__start") + F.row_number().over(order) - 1).drop("__start")
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, Path constructor) of a path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table is there, after a swap that was cut short is undone.
+
+    Between the two renames of ``swap_table`` the table stands under its old name
+    only; it is put back, and what was to replace it is written again by whoever
+    runs the write again.
+    """
+    fs, at = _files(spark, path)
+    if fs.exists(at(path)):
+        return True
+    kept = fs.globStatus(at(f"{path}.old-*"))
+    if not kept:
+        return False
+    last = max(kept, key=lambda f: f.getModificationTime()).getPath()
+    if not fs.rename(last, at(path)):
+        raise OSError(f"cannot put {last} back")
+    return True
+
+
 def swap_table(spark: SparkSession, df: DataFrame, path: str) -> None:
     """Write beside ``path``, then put the result in its place; never overwrites what is being read."""
-    jvm = spark.sparkContext._jvm
+    there = table_exists(spark, path)
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(new)
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    at = jvm.org.apache.hadoop.fs.Path
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
+    fs, at = _files(spark, path)
+    if there and not fs.rename(at(path), at(old)):
+        raise OSError(f"cannot move {path} away")
     if not fs.rename(at(new), at(path)):
         raise OSError(f"cannot put {new} in the place of {path}")
-    fs.delete(at(old), True)
+    for left in fs.globStatus(at(f"{path}.old-*")) or []:
+        fs.delete(left.getPath(), True)

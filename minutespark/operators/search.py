@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from .bm25 import rerank, search as bm25_search
 
 #: Queries scored in one pass over the corpus.
 BLOCK = 256
+#: Hits that are broadcast to the texts; more are joined.
+FEW = 100_000
 
 
 def check_query(query: str | None) -> str:
@@ -23,13 +28,17 @@ def check_query(query: str | None) -> str:
 
 
 def _search(rows: DataFrame, metadata: DataFrame, query: Sequence[float], text: str, id_: str, top_k: int | None, ministry: str | None, embed_model: str | None) -> DataFrame:
+    """Ids and scores alone are ordered; texts are fetched for the few that are left."""
     meta = metadata if ministry is None else metadata.filter(F.col("ministry") == ministry)
     if embed_model is not None:
         rows = rows.filter(F.col("embed_model") == embed_model)
-    scored = rows.select("doc_id", id_, text, cosine(F.col("embedding"), literal(query)).alias("score")) if id_ != "doc_id" else rows.select("doc_id", text, cosine(F.col("embedding"), literal(query)).alias("score"))
-    joined = scored.join(meta.select("doc_id", "url", "council_name", "date"), "doc_id")
-    top = joined.orderBy(F.desc_nulls_last("score"), id_).limit(clamp_top_k(top_k))
-    return top.select("url", "council_name", F.date_format("date", "yyyy-MM-dd").alias("date"), text, F.col("score").cast("double").alias("score"))
+    names = list(dict.fromkeys(["doc_id", id_]))
+    scored = rows.select(*names, cosine(F.col("embedding"), literal(query)).alias("score")).join(meta.select("doc_id"), "doc_id", "left_semi")
+    order = [F.desc_nulls_last("score"), F.asc(id_)]
+    top = F.broadcast(scored.orderBy(*order).limit(clamp_top_k(top_k)))  # at most 100 rows
+    found = rows.select(*names, text).join(top, names).join(meta.select("doc_id", "url", "council_name", "date"), "doc_id")
+    found = found.orderBy(*order).limit(100)
+    return found.select("url", "council_name", F.date_format("date", "yyyy-MM-dd").alias("date"), text, F.col("score").cast("double").alias("score"))
 
 
 def search_chunks(chunks: DataFrame, metadata: DataFrame, query: Sequence[float], top_k: int | None = 5, ministry: str | None = None) -> DataFrame:
@@ -47,49 +56,73 @@ def ranked(scored: DataFrame, group: Sequence[str], k: int, *order: Column) -> D
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length one; zero rows become nan."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
 def batch_search(rows: DataFrame, queries: Sequence[tuple[str, Sequence[float]]], k: int = 20, id_: str = "chunk_id") -> DataFrame:
     """(query_id, id, score, rank) of many queries.
 
-    Queries travel as constants, BLOCK at a time, so each pass scans the corpus once
-    and joins nothing; what is exchanged are k rows of each query and task.
+    Queries travel as one matrix, BLOCK at a time, so each pass scans the corpus once
+    and joins nothing: one product a batch of vectors, of which each query's first k
+    go on.  Vectors of another length than the queries', and null ones, have no score
+    and come last, as zero vectors do.
     """
-    parts = []
+    kind = rows.schema[id_].dataType.simpleString()
+    parts = [rows.select(F.lit("").alias("query_id"), id_, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)] if not queries else []
     for at in range(0, len(queries), BLOCK):
-        # the stated queries of one block, generated beside every row
-        block = F.array(*[F.struct(F.lit(q).alias("query_id"), literal(v).alias("q")) for q, v in queries[at : at + BLOCK]])
-        pairs = rows.select(id_, "embedding", F.inline(block))
-        scored = pairs.select("query_id", id_, cosine(F.col("embedding"), F.col("q")).alias("score"))
-        parts.append(ranked(scored, ["query_id"], k, F.desc_nulls_last("score"), F.col(id_)))
+        names = [q for q, _ in queries[at : at + BLOCK]]
+        asked = _unit(np.array([v for _, v in queries[at : at + BLOCK]], dtype=np.float64))
+
+        def best(batches: Iterator[pa.RecordBatch], names=names, asked=asked) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lists, ids = b.column("v"), b.column(0)
+                whole = pc.equal(pc.list_value_length(lists), asked.shape[1]).fill_null(False).to_numpy(zero_copy_only=False)
+                base = np.full((len(ids), asked.shape[1]), np.nan)
+                base[whole] = pc.list_flatten(lists.filter(pa.array(whole))).to_numpy(zero_copy_only=False).reshape(-1, asked.shape[1])
+                scores = _unit(base) @ asked.T
+                order = np.argsort(pc.rank(ids).to_numpy())  # ties by id
+                top = [order[np.argsort(-np.nan_to_num(scores[order, q], nan=-np.inf), kind="stable")[:k]] for q in range(len(names))]
+                picked = np.concatenate(top) if len(ids) else np.empty(0, np.int64)
+                which = np.repeat(np.arange(len(names)), [len(t) for t in top])
+                score = scores[picked, which]
+                yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(which)), ids.take(pa.array(picked)), pa.array(score, mask=np.isnan(score))], ["query_id", id_, "score"])
+
+        lists = rows.select(id_, F.col("embedding").cast("array<double>").alias("v")).mapInArrow(best, f"query_id string, {id_} {kind}, score double")
+        parts.append(ranked(lists, ["query_id"], k, F.desc_nulls_last("score"), F.col(id_)))
     return reduce(DataFrame.unionByName, parts)
 
 
-def trigram_candidates(chunks: DataFrame, text: str, least: float = 0.3) -> DataFrame:
-    """Chunks by trigram similarity."""
-    from ..functions.vector import trigram_similarity
-
-    return chunks.withColumn("similarity", trigram_similarity(F.col("chunk_text"), F.lit(text))).filter(F.col("similarity") >= least)
+def ranked_urls(scores: DataFrame, index: DataFrame, limit: int = 20, key: str = "id") -> DataFrame:
+    """(rank, url) of the highest scores; documents without a url are no hits."""
+    hits = scores.join(index.filter("url is not null").select(key, "url"), key)
+    top = hits.orderBy(F.desc("score"), key).limit(limit)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key))).select("rank", "url")
 
 
 def keyword_search(index: DataFrame, terms: Column, query: Sequence[str], limit: int = 20, key: str = "id") -> DataFrame:
-    """(rank, url) of the best documents by BM25; documents without a url are no hits."""
+    """(rank, url) of the best documents by BM25, of those with a url, without an index."""
     urls = index.filter("url is not null")
-    hits = bm25_search(urls, terms, query, key).join(urls.select(key, "url"), key)
-    top = hits.orderBy(F.desc("score"), key).limit(limit)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key))).select("rank", "url")
+    return ranked_urls(bm25_search(urls, terms, query, key), urls, limit, key)
 
 
-def compare_runs(chunks: DataFrame, summaries: DataFrame, metadata: DataFrame, queries: Sequence[tuple[str, str, Sequence[float]]], tokenise, k: int = 20) -> DataFrame:
+def compare_runs(chunks: DataFrame, summaries: DataFrame, metadata: DataFrame, queries: Sequence[tuple[str, str, Sequence[float]]], tokenise, k: int = 20, store: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
     """The evaluation: chunk search, summary search, and the latter reordered by BM25 of its own candidates.
 
     ``queries`` holds (id, text, vector).  Columns are those of the evaluation file.
+    The k hits of each query are stored: texts are fetched and reordered from there.
     """
     spark: SparkSession = chunks.sparkSession
     k = clamp_top_k(k)
     vectors = [(q, v) for q, _, v in queries]
     texts = spark.createDataFrame([(q, check_query(t)) for q, t, _ in queries], "query_id string, query_text string")
     meta = metadata.select("doc_id", "url")
-    near_chunks = batch_search(chunks, vectors, k).join(chunks.select("chunk_id", "doc_id", F.col("chunk_text").alias("text")), "chunk_id")
-    near_sums = batch_search(summaries, vectors, k, "doc_id").join(summaries.select("doc_id", F.col("summary").alias("text")), "doc_id").join(F.broadcast(texts), "query_id")
+    few = F.broadcast if k * len(queries) <= FEW else (lambda df: df)
+    near_chunks = few(store(batch_search(chunks, vectors, k))).join(chunks.select("chunk_id", "doc_id", F.col("chunk_text").alias("text")), "chunk_id")
+    near_sums = few(store(batch_search(summaries, vectors, k, "doc_id"))).join(summaries.select("doc_id", F.col("summary").alias("text")), "doc_id")
+    near_sums = store(near_sums.join(F.broadcast(texts), "query_id"))
     again = rerank(near_sums, tokenise(F.col("text")), tokenise(F.col("query_text")), ["query_id"])
     w = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "rank")
     reranked = again.select("query_id", "doc_id", "text", F.col("bm25").alias("score"), F.row_number().over(w).alias("rank"))

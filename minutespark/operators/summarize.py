@@ -53,9 +53,36 @@ def bullet_column(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("- "), p)), "\n")
 
 
-def map_prompt(chunk: Column) -> Column:
-    """What a remote model is asked for each chunk."""
-    return F.replace(F.lit('Summarise these minutes in 200 to 300 characters. Answer as JSON: {"summary": "..."}.\n\n{chunk}'), F.lit("{chunk}"), chunk)
+_TASK = "You condense minutes of meetings. Answer with one JSON object and nothing else."
+_MAP = 'Summarise this part of the minutes in 200 to 300 characters, as {"summary": "..."}.'
+_NUDGE = "The last answer could not be read: write the JSON object alone."
+_REDUCE = 'Merge these partial summaries into one of 200 to 1200 characters, with three to eight short topics, as {"summary": "...", "topics": ["..."]}.'
+
+
+class Chat:
+    """A remote chat model behind an injected client.
+
+    ``client(messages, model=, timeout=, response_format=)`` returns the answer's text;
+    it is made by ``connect`` once a worker, so it need not travel.
+    """
+
+    def __init__(self, connect: Callable[[], Callable[..., str]], model: str, timeout: float = 60.0):
+        self.connect, self.model, self.timeout = connect, model, timeout
+        self._client: Callable[..., str] | None = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_client": None}
+
+    def _ask(self, *parts: str) -> str:
+        self._client = self._client or self.connect()
+        messages = [{"role": "system", "content": _TASK}, {"role": "user", "content": "\n\n".join(parts)}]
+        return self._client(messages, model=self.model, timeout=self.timeout, response_format={"type": "json_object"})
+
+    def map_chunk(self, chunk: str, nudge: bool = False) -> str:
+        return self._ask(_MAP, *([_NUDGE] if nudge else []), chunk)
+
+    def reduce(self, partials: list[str], note: str | None = None) -> str:
+        return self._ask(_REDUCE, *([note] if note else []), bullets(partials))
 
 
 def parse_json_strict(text: str) -> dict:
@@ -144,7 +171,10 @@ def reduce_levels(model: Summarizer, partials: list[str], attempts: int, note: s
 def reduce_udf(model: Summarizer, attempts: int = 3):
     """struct(summary, topics, error); an invalid answer is asked for once more with a note."""
 
-    def one(partials: list[str]) -> tuple[str | None, list[str] | None, str | None]:
+    def one(partials) -> tuple[str | None, list[str] | None, str | None]:
+        if partials is None:  # a UDF runs for every row, whatever stands around it
+            return None, None, None
+        partials = list(partials)
         try:
             try:
                 return *validate(reduce_levels(model, partials, attempts)), None
@@ -155,7 +185,7 @@ def reduce_udf(model: Summarizer, attempts: int = 3):
 
     @F.pandas_udf("summary string, topics array<string>, error string")
     def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(list(p)) for p in s], columns=["summary", "topics", "error"])
+        return pd.DataFrame([one(p) for p in s], columns=["summary", "topics", "error"])
 
     return run
 
@@ -180,7 +210,7 @@ def summarize(pending: DataFrame, model: Summarizer | None = None, size: int = 2
     # partial summaries of one document: a few hundred characters a chunk
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]["value"])
     docs = mapped.groupBy("doc_id").agg(ordered.alias("partials"), F.count(F.lit(1)).alias("n_chunks"), F.max("m.error").alias("map_error"))
-    done = docs.withColumn("r", F.when(F.col("map_error").isNull(), reduce_udf(model, attempts)(F.coalesce("partials", F.array().cast("array<string>")))))
+    done = docs.withColumn("r", reduce_udf(model, attempts)(F.when(F.col("map_error").isNull(), F.col("partials"))))
     all_ = pending.select("doc_id").join(done, "doc_id", "left")
     error = F.coalesce("map_error", "r.error", F.when(F.col("n_chunks").isNull(), F.lit("no chunks")))
     return all_.select("doc_id", F.when(error.isNull(), F.col("r.summary")).alias("summary"), F.when(error.isNull(), F.col("r.topics")).alias("topics"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.when(error.isNull(), "done").otherwise("error").alias("status"), error.alias("error"))

@@ -1,7 +1,7 @@
 """The driver's tables in the shape of the engine's: a row of each becomes one of ours.
 
 documents are meetings; each pair of embeddings is two chunks of one meeting; a
-document and the embedding of the same number are its summary.
+document, and the embedding of its number (counted round), are its summary.
 """
 
 from __future__ import annotations
@@ -12,11 +12,18 @@ from pyspark.sql import functions as F
 META = """meta AS (SELECT doc_id, concat('doc://', doc_id) AS url, source AS ministry, concat('council ', doc_id % 7) AS council_name,
   CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) END AS date, text AS discussion_text FROM documents)"""
 CHUNKS = "chunks AS (SELECT vec_id AS chunk_id, vec_id // 2 AS doc_id, concat('chunk ', vec_id) AS chunk_text, embedding FROM embeddings)"
-SUMMARIES = "summaries AS (SELECT d.doc_id, d.text AS summary, e.label, e.embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"
+SUMMARIES = "summaries AS (SELECT d.doc_id, d.text AS summary, e.label, e.embedding FROM documents d JOIN embeddings e ON d.doc_id % (SELECT count(*) FROM embeddings) = e.vec_id)"
+
+
+#: Tables of long texts.
+TEXTS = {"documents", "pages"}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts that comes in fewer parts than there are cores is dealt to all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +44,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", "embedding")
-    return read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("summary")).join(e, "doc_id")
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("summary"))
+    return d.join(e, F.col("doc_id") % e.count() == F.col("vec_id")).drop("vec_id")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

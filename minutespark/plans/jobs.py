@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from ..config import Settings
 from ..functions import extract
 from ..functions.chunk import chunk_array, explode_chunks
 from ..functions.ids import split_collisions, uuid5_url
-from ..functions.text import clean_text, nfkc
+from ..functions.text import clean_text, first_filled, nfkc
 from ..functions.vector import has_dim
 from ..operators.embed import Provider, embedding
 from ..operators.merge import latest, replace_chunks, upsert_metadata, upsert_summaries, with_chunk_ids
@@ -21,19 +24,20 @@ from ..sources.parse import parse_content
 def metadata_rows(texts: DataFrame) -> DataFrame:
     """Meeting metadata of (url, text[, html_title]); ``status`` is ok, failed or skipped.
 
-    Rows without a url are skipped; of two urls with one normal form the larger fails.
+    Ministry, council and date are looked for in the page's title (as it stands) and
+    then in the text; all else in the text alone.  Rows without a url are skipped; of
+    two urls with one normal form the larger fails.
     """
     title = F.col("html_title") if "html_title" in texts.columns else F.lit(None).cast("string")
-    rows = texts.select("url", title.alias("html_title"), F.regexp_replace(clean_text(F.col("text")), "\x00", "").alias("t"))
-    headed = F.when(F.coalesce("html_title", F.lit("")) != "", F.concat_ws("\n", nfkc(F.col("html_title")), F.col("t"))).otherwise(F.col("t"))
-    rows = rows.withColumn("h", headed)
+    rows = texts.select("url", first_filled(title).alias("html_title"), F.regexp_replace(clean_text(F.col("text")), "\x00", "").alias("t"))
+    rows = rows.withColumns({"h": F.concat("html_title", F.lit("\n"), "t"), "n": F.concat(nfkc(F.col("html_title")), F.lit("\n"), F.col("t"))})
     fields = rows.select(
         uuid5_url(nfkc(F.col("url"))).alias("doc_id"),
         "url",
         extract.ministry(F.col("url"), F.col("h")).alias("ministry"),
         extract.title(F.col("h")).alias("council_name"),
-        extract.meeting_no(F.col("h")).alias("meeting_no"),
-        extract.parse_date(F.col("t"), normalized=True).alias("date"),
+        extract.meeting_no(F.col("t")).alias("meeting_no"),
+        extract.parse_date(F.col("n"), normalized=True).alias("date"),
         extract.location(F.col("t")).alias("location"),
         extract.attendees(F.col("t")).alias("attendees"),
         extract.agenda(F.col("t")).alias("agenda"),
@@ -55,16 +59,21 @@ def counters(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "failed").alias("ng"), F.count_if(F.col("status") == "skipped").alias("skipped"))
 
 
-def normalize(pages: DataFrame, samples: DataFrame | None, metadata: DataFrame, source: str = "both", limit: int | None = 100) -> tuple[DataFrame, DataFrame]:
-    """(new metadata table, rows with status) from the crawl, from sample files, or both."""
+#: Keeps a result that several tables are made of, so that it is made once.
+Store = Callable[[DataFrame], DataFrame]
+
+
+def from_sources(source: str, db: DataFrame | None, sample: DataFrame | None) -> DataFrame:
+    """The rows of the crawl, of the sample files, or of both (the crawl's first)."""
     if source not in ("db", "sample", "both"):
         raise ValueError(f"unknown source: {source}")
-    parts = []
-    if source != "sample":
-        parts.append(normalize_pages(pages, metadata, limit))
-    if source != "db" and samples is not None:
-        parts.append(metadata_rows(samples))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    parts = [df for name, df in (("db", db), ("sample", sample)) if source in (name, "both") and df is not None]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def normalize(pages: DataFrame, samples: DataFrame | None, metadata: DataFrame, source: str = "both", limit: int | None = 100, store: Store = DataFrame.persist) -> tuple[DataFrame, DataFrame]:
+    """(new metadata table, rows with status) from the crawl, from sample files, or both."""
+    rows = store(from_sources(source, normalize_pages(pages, metadata, limit), None if samples is None else metadata_rows(samples)))
     ok = latest(rows.filter("status = 'ok'").drop("status"), "url", F.col("doc_id"))
     return upsert_metadata(metadata, ok), rows
 
@@ -83,9 +92,16 @@ def embed_totals(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.countDistinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("chunks"))
 
 
-def summarise(metadata: DataFrame, summaries: DataFrame, settings: Settings, model: Summarizer | None = None, provider: Provider | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(summary table, job status of the pending documents)."""
+def summarise(metadata: DataFrame, summaries: DataFrame, settings: Settings, model: Summarizer | None = None, provider: Provider | None = None, limit: int | None = None, store: Store = DataFrame.persist, jobs: Callable[[DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(summary table, job status of the pending documents).
+
+    ``jobs`` is told of the documents before the model is asked (status ``running``).
+    """
     pending = pending_summary(metadata, summaries, settings.summarize_limit if limit is None else limit)
-    done = summarize(pending, model, settings.chunk_size, settings.chunk_overlap, settings.retry_max, settings.max_concurrency)
+    if jobs:
+        pending = store(pending)
+        jobs(pending.select("doc_id", F.lit("running").alias("status"), F.lit(None).cast("string").alias("last_error"), F.current_timestamp().alias("updated_at")))
+    # answers of a model are kept: both tables come from one stored result
+    done = store(summarize(pending, model, settings.chunk_size, settings.chunk_overlap, settings.retry_max, settings.max_concurrency))
     good = done.filter("status = 'done'").select("doc_id", "summary", "topics", F.lit(settings.summarize_model).alias("model"), F.lit(settings.embedding_model).alias("embed_model"), embedding(F.col("summary"), settings, provider).alias("embedding"), F.current_timestamp().alias("created_at"))
     return upsert_summaries(summaries, good), done.select("doc_id", "status", F.col("error").alias("last_error"), F.current_timestamp().alias("updated_at"))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import Settings
+from ..functions import extract
 from ..operators import merge, queues, summarize
 from ..plans import adapters, jobs
-from . import query, table
+from . import query, table, texts
 
 
 @query("SELECT page_id AS id, url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.page_id) ORDER BY page_id DESC LIMIT 100")
@@ -83,7 +84,7 @@ def chunk_ids(spark, sf_dir):
 def source_union(spark, sf_dir):
     db = table(spark, sf_dir, "pages").select(F.lit("db").alias("source"), "url", F.col("html").alias("text"))
     sample = table(spark, sf_dir, "documents").select(F.lit("sample").alias("source"), F.concat(F.lit("file://"), "doc_id", F.lit(".txt")).alias("url"), "text")
-    return db.unionByName(sample)
+    return jobs.from_sources("both", db, sample)
 
 
 @query("SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS ok, count(*) FILTER (WHERE toxic = 1) AS ng, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS skipped FROM labels")
@@ -125,10 +126,19 @@ def json_strict_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", summarize.json_object(F.expr(_JSON)).isNotNull().alias("is_object"))
 
 
-@query()
+# titles that differ from the texts; every other one is that of the page
+_TITLE = "CASE page_id % 2 WHEN 0 THEN concat('　第５回　情報審議会　令和', page_id % 6 + 1, '年７月', page_id % 28 + 1, '日') ELSE {own} END"
+
+
+@query(f"""WITH p AS (SELECT page_id, url, {_TITLE.format(own=chr(39) * 2)} AS title, {texts.PARSED} AS text FROM (SELECT page_id, url, html FROM pages)),
+h AS (SELECT *, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM p)
+SELECT concat(h[1:8], '-', h[9:12], '-5', h[14:16], '-', translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab'), h[18:20], '-', h[21:32]) AS doc_id, url, NULL::VARCHAR AS ministry,
+  CASE page_id % 2 WHEN 0 THEN trim(title, '　') ELSE substr(split_part(text, chr(10), 1), 1, 200) END AS council_name, NULL::VARCHAR AS meeting_no,
+  CASE page_id % 2 WHEN 0 THEN make_date(2018 + CAST(page_id % 6 + 1 AS INTEGER), 7, CAST(page_id % 28 + 1 AS INTEGER)) END AS date,
+  NULL::VARCHAR AS location, '[]' AS attendees, '' AS agenda, text AS discussion_text, 'ok' AS status FROM h""")
 def pages_normalized(spark, sf_dir):
-    pages = adapters.pages(spark, sf_dir)
-    return jobs.normalize_pages(pages, schemas.empty(spark, "meeting_metadata"), None).drop("attendees")
+    pages = adapters.pages(spark, sf_dir).withColumn("html_title", F.expr(_TITLE.format(own="''").replace("page_id", "id")))
+    return jobs.normalize_pages(pages, schemas.empty(spark, "meeting_metadata"), None).withColumn("attendees", extract.json_list(F.col("attendees")))
 
 
 @query()

@@ -39,11 +39,21 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[table])
 
 
-def create_tables(spark: SparkSession, database: str = "default") -> None:
-    """CREATE TABLE IF NOT EXISTS for all of them, as Parquet."""
+#: Tables that are joined by this key are bucketed by it, in the place of an index.
+BUCKETED = {"meeting_metadata": "doc_id", "meeting_chunks": "doc_id", "chunks_summary": "doc_id", "chunks_summary_jobs": "doc_id"}
+
+
+def create_tables(spark: SparkSession, database: str = "default", buckets: int = 64) -> None:
+    """CREATE TABLE IF NOT EXISTS for all of them, as Parquet.
+
+    Joins of two bucketed tables by their key shuffle neither; ``buckets`` grows with
+    the tables (a bucket should fit in a task).
+    """
     for name, schema in TABLES.items():
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
+        key = BUCKETED.get(name)
+        dealt = f" CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS" if key else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet{dealt}")
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import latest, swap_table, upsert_metadata
+from ..operators.merge import latest, swap_table, table_exists, upsert_metadata
 from ..plans.jobs import metadata_rows
-from ..schemas import CRAWLED_PAGES, empty
+from ..schemas import CRAWLED_PAGES, MEETING_METADATA, empty
 from ..sources.parse import parse_content
 
 
@@ -18,12 +18,7 @@ def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
 def merge_batch(batch: DataFrame, path: str) -> None:
     """Idempotent: a batch that runs again writes the same rows."""
     spark = batch.sparkSession
-    try:
-        known = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = empty(spark, "meeting_metadata")
+    known = spark.read.schema(MEETING_METADATA).parquet(path) if table_exists(spark, path) else empty(spark, "meeting_metadata")
     rows = metadata_rows(latest(parse_content(batch).select("url", "text", "html_title", "id"), "url", F.desc("id")))
     swap_table(spark, upsert_metadata(known, rows.filter("status = 'ok'").drop("status")), path)
 

@@ -55,6 +55,61 @@ def test_swap_table(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
+def test_swap_that_stops_between_its_renames(spark, tmp_path):
+    path = tmp_path / "t"
+    merge.swap_table(spark, spark.range(3), str(path))
+    spark.range(9).write.parquet(str(tmp_path / "t.new-x"))
+    path.rename(tmp_path / "t.old-x")  # the stop: the new table is not in its place yet
+    assert merge.table_exists(spark, str(path)) and spark.read.parquet(str(path)).count() == 3
+    path.rename(tmp_path / "t.old-x")
+    merge.swap_table(spark, spark.range(5), str(path))
+    assert spark.read.parquet(str(path)).count() == 5
+    assert not merge.table_exists(spark, str(tmp_path / "none"))
+
+
+def test_stream_after_a_stop_keeps_earlier_rows(spark, tmp_path):
+    make = lambda i: spark.createDataFrame([(i, f"https://www.mof.go.jp/{i}", None, 200, "text/html", bytearray(HTML.encode()), None, 0)], "id long, url string, referrer_anchor_text string, status_code int, content_type string, content binary, html_title string, depth int").withColumn("fetched_at", F.timestamp_seconds(F.lit(0)))
+    place = [str(tmp_path / x) for x in ("in", "meta", "check")]
+    make(1).write.parquet(place[0])
+    incremental.run_available(spark, *place)
+    (tmp_path / "meta").rename(tmp_path / "meta.old-1")
+    make(2).write.mode("append").parquet(place[0])
+    incremental.run_available(spark, *place)
+    assert spark.read.parquet(place[1]).count() == 2
+
+
+def test_upsert_refuses_unsound_keys(spark):
+    one = spark.createDataFrame([("u", "d", "m")], "url string, doc_id string, ministry string")
+    for bad in (one.union(one), spark.createDataFrame([(None, "d", "m")], one.schema)):
+        for old, new in ((one, bad), (bad, one.limit(0))):
+            with pytest.raises(Exception, match="null or repeated"):
+                merge.upsert_metadata(old, new).collect()
+
+
+def test_chunk_ids_follow_the_order(spark):
+    rows = spark.createDataFrame([(f"d{i % 700:03d}", i // 700) for i in range(2000)], "doc_id string, pos int")
+    got = merge.with_chunk_ids(rows, 5).collect()
+    assert [r.chunk_id for r in sorted(got, key=lambda r: (r.doc_id, r.pos))] == list(range(5, 2005))
+    assert merge.with_chunk_ids(rows.limit(0)).isEmpty()
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE d4 LOCATION '{tmp_path}'")
+    try:
+        schemas.create_tables(spark, "d4", buckets=4)
+        schemas.create_tables(spark, "d4", buckets=4)
+        assert schemas.read_table(spark, "d4.none.meeting_chunks".replace(".none", "")).isEmpty()
+        spark.createDataFrame([("a", "u")], "doc_id string, url string").createOrReplaceTempView("m")
+        spark.sql("INSERT INTO d4.meeting_metadata (doc_id, url) SELECT * FROM m")
+        spark.sql("INSERT INTO d4.meeting_chunks (chunk_id, doc_id, chunk_text) VALUES (1, 'a', 'x'), (2, 'b', 'y')")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = spark.table("d4.meeting_chunks").join(spark.table("d4.meeting_metadata"), "doc_id")
+        assert "Exchange" not in plan(joined) and joined.count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE d4 CASCADE")
+
+
 def test_parse(spark):
     rows = pages(spark, [("a", "text/HTML; x", HTML.encode()), ("b", None, b"plain \xff text"), ("c", "application/pdf", b"%PDF"), ("d", "text/html", None)])
     got = {r.url: r.text for r in parse.parse_content(rows).collect()}
@@ -72,6 +127,22 @@ def test_normalize_job(spark):
         jobs.normalize(p, None, table, "other")
 
 
+def test_title_and_text_give_different_fields(spark):
+    """Date, council and ministry come from the title as it stands, then the text; the number from the text alone."""
+    rows = [("https://e/1", "本文のみ", "第５回　情報審議会　令和7年7月23日"), ("https://e/2", "第２回 部会\n2024年1月2日", "環境省の資料"), ("https://e/3", "第２回 部会", None)]
+    df = spark.createDataFrame(rows, "url string, text string, html_title string")
+    got = {r.url[-1]: (r.ministry, r.council_name, r.meeting_no, r.date and str(r.date)) for r in jobs.metadata_rows(df).collect()}
+    assert got == {"1": (None, "第５回　情報審議会　令和7年7月23日", None, "2025-07-23"), "2": ("環境省", "第2回 部会", "第2回", "2024-01-02"), "3": (None, "第2回 部会", "第2回", None)}
+
+
+def test_pdf_reaches_the_metadata(spark):
+    p = pages(spark, [("https://www.mof.go.jp/a.pdf", "application/pdf", "%PDF第1回 会議".encode()), ("https://e/b", None, b"x")])
+    parsed = parse.parse_content(p, lambda b: b.decode().removeprefix("%PDF") + "\n令和7年7月23日" if b.startswith(b"%PDF") else "")
+    got = {r.url: r for r in jobs.metadata_rows(parsed.select("url", "text", "html_title")).collect()}
+    assert got["https://www.mof.go.jp/a.pdf"].meeting_no == "第1回" and str(got["https://www.mof.go.jp/a.pdf"].date) == "2025-07-23"
+    assert got["https://e/b"].discussion_text == "x"
+
+
 def test_embed_job(spark):
     meta = spark.createDataFrame([("a", "x" * 1500), ("b", "y")], "doc_id string, discussion_text string")
     chunks = schemas.empty(spark, "meeting_chunks")
@@ -137,6 +208,88 @@ def test_summarize(spark):
         summarize.parse_json_strict("[1]")
 
 
+def test_model_is_asked_once(spark, tmp_path):
+    """Each chunk is mapped once, though two tables are made of it, and no reduce is asked for a failed document."""
+    log = str(tmp_path / "asked")
+
+    class Noting(summarize.Extractive):
+        def note(self, what):
+            with open(log, "a") as f:
+                f.write(what + "\n")
+
+        def map_chunk(self, chunk, nudge=False):
+            self.note("map " + chunk[:1])
+            if chunk.startswith("bad"):
+                raise ValueError("no")
+            return super().map_chunk(chunk)
+
+        def reduce(self, partials, note=None):
+            self.note("reduce " + (partials[0] if len(partials) else "")[:1])
+            return super().reduce(partials)
+
+    meta = spark.createDataFrame([("a", "council meeting budget report " * 30), ("b", "bad document of the council " * 30)], "doc_id string, discussion_text string")
+    n = iter(range(9))
+
+    def store(df):
+        df.write.parquet(path := str(tmp_path / f"s{next(n)}"))
+        return spark.read.parquet(path)
+
+    seen = []
+    s = Settings(embed_dim=16, retry_max=1)
+    found, status = jobs.summarise(meta, schemas.empty(spark, "chunks_summary"), s, Noting(), store=store, jobs=lambda df: seen.append([r.status for r in df.collect()]))
+    assert found.count() == 1 and sorted(r.status for r in status.collect()) == ["done", "error"]
+    assert seen == [["running", "running"]]
+    with open(log) as f:
+        asked = f.read().split("\n")
+    assert asked.count("map c") == 1 and asked.count("map b") == 2 and asked.count("reduce c") == 1 and asked.count("reduce b") == 0
+
+
+def test_chat_client():
+    asked = []
+
+    def connect():
+        def client(messages, model, timeout, response_format):
+            asked.append((messages[1]["content"], model, timeout, response_format["type"]))
+            return '{"summary": "s", "topics": []}'
+
+        return client
+
+    import pickle
+
+    chat = pickle.loads(pickle.dumps(summarize.Chat(int, "m", 5.0)))
+    chat.connect = connect
+    assert json.loads(chat.map_chunk("text", nudge=True))["summary"] == "s" and chat.reduce(["a", "b"], "note")
+    assert asked[0][1:] == ("m", 5.0, "json_object") and "text" in asked[0][0] and "- a\n- b" in asked[1][0] and "note" in asked[1][0]
+
+
+def test_local_model_falls_back_to_digests(spark):
+    assert embed.LocalModel.find("no such model") is None
+    s = Settings(embed_dim=20, embedding_model="no such model")
+    assert len(embed.embed_one(spark, "x", s)) == 20
+
+
+def test_approximate_search_finds_most(spark):
+    import random
+
+    rng = random.Random(4)
+    centers = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(20)]
+    rows = [(i, [x + rng.gauss(0, 0.3) for x in centers[i % 20]]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    hits = 0
+    for q in range(10):
+        exact = {r.chunk_id for r in search.batch_search(df, [("q", centers[q])], 5).collect()}
+        hits += len(exact & {r.chunk_id for r in search.lsh_search(df, centers[q]).collect()})
+    assert hits >= 45
+
+
+def test_batch_search_with_odd_vectors(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.0, 0.0]), ("d", None), ("e", [1.0]), ("f", [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(2)
+    got = search.batch_search(df, [("q", [1.0, 0.0]), ("z", [0.0, 0.0])], 4, "id").orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id, r.score if r.score is None else round(r.score, 3)) for r in got] == [("q", "a", 1.0), ("q", "b", 1.0), ("q", "f", 0.707), ("q", "c", None), ("z", "a", None), ("z", "b", None), ("z", "c", None), ("z", "d", None)]
+    assert search.batch_search(df, [], 4, "id").isEmpty() and search.batch_search(df.limit(0), [("q", [1.0, 0.0])], 4, "id").isEmpty()
+
+
 def test_search(spark):
     meta = spark.createDataFrame([("a", "ua", "", "c", None), ("b", "ub", "m", "c", None)], "doc_id string, url string, ministry string, council_name string, date date")
     chunks = spark.createDataFrame([(1, "a", "x", [1.0, 0.0]), (2, "b", "y", [1.0, 0.0]), (3, "b", "z", [0.0, 0.0])], "chunk_id long, doc_id string, chunk_text string, embedding array<float>")
