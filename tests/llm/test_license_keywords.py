@@ -41,7 +41,7 @@ def test_every_match_holds_a_keyword():
         tree = _parser.parse(regex)
         for _ in range(60):
             text = sample(tree, rng)
-            assert any(w in text for w in held), (text, held)
+            assert any(f" {w}" in f" {text}" for w in held), (text, held)
 
 
 def test_names_and_clauses_alone(spark):
@@ -62,5 +62,35 @@ def test_names_and_clauses_alone(spark):
     assert [d.label for d in licenses.scan(both).first().detections] == ["gpl-3", "gpl-3"]
 
 
-def test_keywords_against_patterns_compile():
-    assert all(re.compile(r[5]) for r in licenses.rules())
+def resolved(text):
+    """The detections by brute force over all rules and matches."""
+    words = " " + "".join(f"{w} " for w in re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+    found = []
+    for o, tier, label, _, _, regex in licenses.rules():
+        at = 0
+        while m := re.compile(f" {regex}(?= )").search(words, at):
+            found.append((m.start(), -m.end(), tier, o, label, m.end()))
+            at = m.end()
+    found.sort()
+    return [f for i, f in enumerate(found) if not any(g[5] >= f[5] and g[2] <= f[2] for g in found[:i])]
+
+
+def test_detections_equal_brute_force(spark):
+    """Every rule's own sample between other words, and a text of them all."""
+    rng = random.Random(3)
+    table = licenses.rules()
+    assert len(table) > 200 and len({r[5] for r in table}) > 200
+    texts = [f"Some {sample(_parser.parse(r[5]), rng)} follows {sample(_parser.parse(rng.choice(table)[5]), rng)}" for r in table]
+    texts.append(" and\n".join(texts) * 3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(d.start, -d.end, d.tier, d.rule, d.label, d.end) for d in r.detections] for r in licenses.scan(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == resolved(t), t[:200]
+    assert len(got[len(texts) - 1]) > 500
+
+
+def test_many_matches_of_one_rule(spark):
+    n = 20_000
+    df = spark.createDataFrame([(1, "all rights reserved. " * n)], "doc_id long, text string")
+    r = licenses.scan(df).select("n_words", "detections").first()
+    assert r.n_words == 3 * n and len(r.detections) == n and r.detections[-1].end == len(" all rights reserved") * n
