@@ -1,9 +1,10 @@
 """Exact top-k search: tiled matrix products with partial selection and tree merging.
 
-Base rows are dealt at random over tiles, queries over blocks.  Each (tile, block)
-pair is one product of two bounded matrices; of each query only its best k of the
-tile leave the task.  The lists then merge in a tree: tiles of one branch first,
-the branches next, so no task sees more than ``FAN`` lists of a query.
+Base rows are dealt over tiles by a hash of their content, queries over blocks.  Each
+(tile, block) pair is one product of two bounded matrices; of each query only its best
+k of the tile leave the task.  The lists then merge in a tree: ``FAN`` neighbouring
+tiles make a branch, branches make larger ones, so no task sees more than ``FAN``
+lists of a query.
 
 The tile and block counts follow the table: both kinds of row are repeated once
 per partner, which the products outweigh by far.
@@ -11,8 +12,10 @@ per partner, which the products outweigh by far.
 Vectors that are null, or hold null or non-finite components, take no part.
 Vectors meet only others of their length; an empty vector scores zero with any
 other empty one.  Rows with a null id take no part.  Repeated ids: each row is a
-candidate of its own, and rows with the query's id are none of its candidates.
-Fewer than k candidates give all there are.
+candidate of its own, and rows with the query's id are none of its candidates.  Rows
+alike in id and vector are counted first; k of them are enough.  Fewer than k
+candidates give all there are; an empty table gives no rows.  Scores beyond 64 bits
+are an error.
 """
 
 from __future__ import annotations
@@ -50,6 +53,8 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products, by the fastest arithmetic that is exact."""
     dim = max(1, a.shape[1])
     most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * dim
+    if most >= 1 << 63:  # Python's integers; what does not fit in the end is an error
+        return np.array([[int(x) for x in row] for row in a.astype(object) @ b.astype(object).T], dtype=np.int64).reshape(len(a), len(b))
     kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
     return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
 
@@ -65,8 +70,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _tile_lists(k: int):
-    names = ["query_id", "vec_id", "score"]
-    schema = pa.schema([(n, pa.int64()) for n in names])
+    schema = pa.schema([("query_id", pa.int64()), ("tile", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(key, base: pa.Table, queries: pa.Table) -> pa.Table:
         if not len(base) or not len(queries):
@@ -84,33 +88,41 @@ def _tile_lists(k: int):
                 out[0].append(np.full(len(best), asked[at + i]))
                 out[1].append(ids[best])
                 out[2].append(s[best])
-        return pa.Table.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], schema=schema)
+        query, vec, score = (np.concatenate(x).astype(np.int64) for x in out)
+        return pa.Table.from_arrays([pa.array(query), pa.array(np.full(len(query), key[0].as_py(), np.int32)), pa.array(vec), pa.array(score)], schema=schema)
 
     return run
 
 
-def top_k(base: DataFrame, queries: DataFrame, k: int = 5, tile: int = TILE, block: int = BLOCK) -> DataFrame:
+def top_k(base: DataFrame, queries: DataFrame, k: int = 5, tile: int = TILE, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """query_id, rank, vec_id, score.  ``base`` has vec_id and v, ``queries`` query_id and v (arrays of long)."""
     require(base, ["vec_id", "v"])
     require(queries, ["query_id", "v"])
     spark = base.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n, q = base.count(), queries.count()
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))
+    (n, a), (q, b) = (df.agg(F.count(F.lit(1)), largest).first() for df in (base, queries))
+    # the components travel in the narrowest integers that hold them all
+    kind = next(t for t, most in (("smallint", 1 << 15), ("int", 1 << 31), ("bigint", 1 << 64)) if max(a or 0, b or 0) < most)
+    base = base.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))))
     blocks = max(1, -(-q // block))
     tiles = max(1, -(-n // tile), -(-least // blocks) if n > 64 * least else 1)
 
-    def spread(df: DataFrame, own: str, own_n: int, other: str, other_n: int, name: str) -> DataFrame:
-        return df.select(name, "v", F.size("v").alias("dim"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(own_n)).cast("int").alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
+    def spread(df: DataFrame, own: str, own_n: int, other: str, other_n: int, name: str, *key: str) -> DataFrame:
+        # by content: a task that runs again deals every row as before
+        place = F.pmod(F.xxhash64(name, "v", *key), F.lit(own_n)).cast("int")
+        return df.select(name, F.col("v").cast(f"array<{kind}>").alias("v"), F.size("v").alias("dim"), place.alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
 
     keys = ["tile", "block", "dim"]
-    left = spread(base, "tile", tiles, "block", blocks, "vec_id").groupBy(*keys)
+    left = spread(base, "tile", tiles, "block", blocks, "vec_id", "copy").groupBy(*keys)
     right = spread(queries, "block", blocks, "tile", tiles, "query_id").groupBy(*keys)
-    lists = left.cogroup(right).applyInArrow(_tile_lists(k), "query_id long, vec_id long, score long")
+    lists = left.cogroup(right).applyInArrow(_tile_lists(k), "query_id long, tile int, vec_id long, score long")
     order = [F.desc("score"), F.asc("vec_id")]
     width = tiles
-    while width > FAN:
-        width = -(-width // FAN)
-        part = Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(width))).orderBy(*order)
+    while width > fan:
+        width = -(-width // fan)
+        lists = lists.withColumn("tile", F.floor(F.col("tile") / fan).cast("int"))
+        part = Window.partitionBy("query_id", "tile").orderBy(*order)
         lists = lists.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= k).drop("rank")
     final = Window.partitionBy("query_id").orderBy(*order)
     return lists.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

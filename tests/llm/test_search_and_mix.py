@@ -36,6 +36,28 @@ def test_top_k_of_large_numbers(spark):
     assert {(r.query_id, r.vec_id): r.score for r in got} == {(a, b): sum(x * y for x, y in zip(big[a], big[b], strict=True)) for a in range(3) for b in range(3) if a != b}
 
 
+def test_tree_of_tiles(spark):
+    """Several levels of merging, with repeated rows: the same result, and no place sees more lists than a branch has."""
+    rng = random.Random(6)
+    data = [(i, [rng.randrange(-9, 9) for _ in range(4)]) for i in range(400)] + [(7, [8, 8, 8, 8])] * 60
+    df = spark.createDataFrame(data, "vec_id long, v array<long>").repartition(3).withColumn("tile", F.lit("clash"))
+    queries = df.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "v")
+    found = topk.top_k(df, queries, 5, tile=8, block=4, fan=3)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("row_number") >= 4
+    want = []
+    for q, x in data:
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), c) for c, y in data if c != q)[:5]
+            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scores)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    df = spark.createDataFrame([(1, [1 << 40]), (2, [1 << 40])], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="OverflowError"):
+        topk.top_k(df, df.select(F.col("vec_id").alias("query_id"), "v"), 2).collect()
+
+
 def corpus(spark):
     rng = random.Random(2)
     data = [(i, f"s{min(i % 9, 3)}", " ".join(["w"] * rng.randrange(60))) for i in range(900)] + [(2000, None, "null source words"), (2001, "empty", ""), (2002, "empty", None)]
