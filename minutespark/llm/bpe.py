@@ -10,7 +10,6 @@ dictionary remembers the ids for later batches.
 
 from __future__ import annotations
 
-import ctypes
 import os
 import re
 from array import array
@@ -20,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import give_back
+
 #: Every character that any regex engine may take for white space.
 _SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 _CUT = re.compile(f"(?<=[^{_SPACE}])(?=[ \n][^{_SPACE}])")
@@ -150,14 +151,6 @@ def encoder(tokenizer_path: str) -> Encoder:
     return _made[tokenizer_path]
 
 
-def give_back() -> None:
-    """Hand freed memory back to the system: a worker that waits for its next task holds less."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-    if trim:
-        trim(0)
-
-
 def text_groups(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[tuple[list, pa.Array]]:
     """(doc ids, texts) of about ``most`` bytes, so that memory stays bounded."""
     ids: list = []

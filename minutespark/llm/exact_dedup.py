@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WS, documents, require, stored
+from .shared import WS, documents, join_groups, require, stored, tidy
 
 PRIME = (1 << 61) - 1
 POINT = 0x1B873593CC9E2D51 % PRIME
@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp, n_bytes, text_sha256 of every row; one scan, no shuffle."""
     require(docs, ["doc_id", "text"])
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_hash_rows, "doc_id long, fp long, n_bytes long, text_sha256 string")
+    return rows.mapInArrow(tidy(_hash_rows), "doc_id long, fp long, n_bytes long, text_sha256 string")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,10 @@ def collisions(docs: DataFrame, ids: DataFrame) -> DataFrame:
     first, so a group of any size sends one pair a task and chunk.
     """
     d, i = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), ids.select(F.col("doc_id").alias("other_id")).distinct()
-    parts = d.join(i, d["doc_id"].eqNullSafe(i["other_id"]), "left_semi").select("text").mapInArrow(_chunks, "fp long, n_bytes long, pos long, chunk binary")
+    named = d.join(i, F.col("doc_id") == F.col("other_id"), "left_semi")
+    # rows without an id, however many, are no key of a join: all are compared if one is named
+    nameless = d.filter("doc_id is null").join(F.broadcast(i.filter("other_id is null").limit(1)))
+    parts = named.select("text").unionByName(nameless.select("text")).mapInArrow(tidy(_chunks), "fp long, n_bytes long, pos long, chunk binary")
     compared = parts.groupBy("fp", "n_bytes", "pos").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
     return compared.filter("least != most").select("fp", "n_bytes").distinct()
 
@@ -141,14 +144,16 @@ def decisions(docs: DataFrame) -> DataFrame:
     rows = stored(fingerprints(docs).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     key = ["fp", "n_bytes"]
     several = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    unequal = stored(collisions(docs, rows.join(several, key).select("doc_id")), "collisions")
+    unequal = stored(collisions(docs, join_groups(rows, several, key, "n").select("doc_id")), "collisions")
     if unequal.isEmpty():
         rows = rows.withColumn("class", F.lit(""))
     else:
         rows = rows.join(unequal.withColumn("odd", F.lit(True)), key, "left").withColumn("class", F.when(F.col("odd"), F.col("text_sha256")).otherwise("")).drop("odd")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("first")
     groups = rows.groupBy(*key, "class").agg(first, F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, [*key, "class"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
+    # one text may be that of a third of all rows
+    rows = stored(rows, "classes") if not unequal.isEmpty() else rows
+    return join_groups(rows, groups, [*key, "class"], "group_size").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@ the token cutter, and a columns guard."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     (local tests) a temporary folder takes its place.
     """
     sc = spark.sparkContext
+    local = sc.master.startswith("local[") or sc.master == "local"
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not sc.getCheckpointDir():
+        if not local:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="minutespark-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -49,17 +54,61 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of an Arrow batch.  Whole texts travel in them: the default of 10,000 rows
-#: would hold tens of MB of text in each task, twice, outside of the heap.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch.  Whole texts travel in them: the default of 10,000
+#: rows would hold tens of MB of text in each task, twice, outside of the heap, and a
+#: thousand texts of a megabyte each would be a gigabyte.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def require(df: DataFrame, names: Iterable[str]) -> None:
-    """Checks the columns, and bounds the batches in which rows go to Python."""
+    """Checks the columns, and lowers the bounds of the batches in which rows go to Python.
+
+    The bounds are settings of the session that Spark reads when a query runs, so they
+    stay lowered; results do not depend on them.
+    """
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(str(conf.get(f"spark.sql.execution.arrow.{name}")).lower().rstrip("b") or 0)
+        if not 0 < now <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker that waits for its next task holds less."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, which hands its memory back at the end of a task."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+#: Groups of more than one in so many of all rows are joined apart.
+HOT = 1024
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> DataFrame:
+    """Each row of the stored table ``rows`` with its group's; ``size`` is the column of the groups' row counts.
+
+    Groups of over one HOTth of all rows are fewer than HOT, so they are broadcast;
+    of the others, which meet their rows by a shuffle, none can fill a task.
+    """
+    least = max(1, rows.count() // HOT)
+    hot = F.broadcast(groups.filter(F.col(size) > least))
+    cold = groups.filter(F.col(size) <= least)
+    rest = rows.join(hot.select(*key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key))
 
 
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:

@@ -14,7 +14,8 @@ of them keeps the components and no group exceeds 33.
 
 Null texts count as empty; an empty text has fingerprint zero and links like any
 other.  Repeated ids: each row has its own fingerprint; ids link through all their
-rows.  Rows with a null id keep their fingerprint and a null component.
+rows.  Rows with a null id keep their fingerprint and a null component; others
+reach each other through them.  Ids from ``BEYOND`` on stand for nodes without one.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ SHINGLE = 3
 RADIUS = 2
 #: A pair of blocks with more fingerprints is split once more.
 SMALL = 24
+#: Nodes of no id of their own are numbered from here, behind the ids.
+BEYOND = 1 << 62
 _MASKS = [((0xFFFF << 16 * a) | (0xFFFF << 16 * b)) for a, b in combinations(range(4), 2)]
 
 
@@ -107,11 +110,13 @@ def links(heads: DataFrame) -> DataFrame:
 def families(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint, component_id of every row; further: the size of its fingerprint's group."""
     rows = stored(fingerprints(docs, width), "simhash")
-    heads = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "heads")
+    # fingerprints that no id holds have nodes too; those alike but for the last two bits are linked, and may share one
+    nameless = F.lit(BEYOND) + F.shiftrightunsigned("fp", 2)
+    heads = stored(rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), nameless).alias("id"), F.count(F.lit(1)).alias("copies")), "heads")
     # ids that stand under several fingerprints tie these together
     named = rows.filter("doc_id is not null").distinct()
     ties = named.join(named.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "doc_id").join(heads.select("fp", "id"), "fp").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).filter("u != v")
-    found = components(links(heads.filter("id is not null").select("id", "fp")).unionByName(ties))
+    found = components(links(heads.select("id", "fp")).unionByName(ties))
     heads = heads.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", "copies", F.coalesce("component", "id").alias("component_id"))
     out = rows.join(heads, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "copies")
@@ -125,6 +130,8 @@ ALIKE, WORDS = 0.8, 5
 SAMPLE, COMMON = 20_000, 1 << 18
 #: Members that the others of a crowded group are compared with first, and rows of a block of what is left.
 HUBS, BLOCK = 8, 256
+#: Bits of a signature.
+SIGN = 512
 
 
 def sketch(text: str | None) -> bytes:
@@ -181,6 +188,15 @@ def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.nda
     return shingles[: len(shingles) + (-4 * len(shingles) // 5) + 1]
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """SIGN bits as signed longs: each tells whether an odd number of the set's hashes falls to it.
+
+    Two sets differ in as many hashes at least as their signatures differ in bits.
+    """
+    odd = np.bincount((shingles & np.uint64(SIGN - 1)).astype(np.int64), minlength=SIGN) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that repeat in a sample of about SAMPLE documents, at most COMMON of them, and in how many documents they stand.
 
@@ -234,22 +250,27 @@ def with_hubs(members: DataFrame) -> DataFrame:
     return far.select(F.greatest("mark", "v").alias("u"), F.least("mark", "v").alias("v")).distinct()
 
 
-def across(members: DataFrame, links: DataFrame) -> DataFrame:
+#: Sets alike to ALIKE differ in a ninth of their hashes at most, and their signatures in no more bits.
+_SIGNS = "9 * (" + " + ".join(f"bit_count(sig[{i}] ^ sig2[{i}])" for i in range(SIGN // 64)) + ") <= n + n2"
+
+
+def across(members: DataFrame, links: DataFrame, signs: DataFrame) -> DataFrame:
     """Of those pairs all that ``links`` do not tie already, directly or through others.
 
     Each has a member outside the group's largest component, so such members alone
-    are compared with all.  Both sides are dealt into blocks of BLOCK rows.
+    are compared with all.  Both sides are dealt into blocks of BLOCK rows, and the
+    signatures (mark, sig) rule out, without loss, most pairs that are not alike.
     """
     tied = components(links)
     parts = stored(members.drop("count").join(tied.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark")), "parts")
     sizes = parts.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     most = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     most = most.select("key", F.col("top.component").alias("top"), F.ceil(F.col("m") / BLOCK).alias("all_blocks"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).alias("blocks"))
-    open_ = parts.join(most, "key")
+    open_ = stored(parts.join(most, "key").join(signs, "mark"), "open")
     place, every = lambda n: F.pmod(F.xxhash64("mark"), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = open_.filter("component != top").select("key", "mark", "n", "pos", "component", place("blocks").alias("a"), every("all_blocks").alias("b"))
-    right = open_.select("key", F.col("mark").alias("v"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("c2"), "top", place("all_blocks").alias("b"), every("blocks").alias("a"))
-    met = left.join(right, ["key", "a", "b"]).filter("component != c2 and (c2 = top or v < mark)").filter(_WITHIN)
+    left = open_.filter("component != top").select("key", "mark", "n", "pos", "sig", "component", place("blocks").alias("a"), every("all_blocks").alias("b"))
+    right = open_.select("key", F.col("mark").alias("v"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("sig").alias("sig2"), F.col("component").alias("c2"), "top", place("all_blocks").alias("b"), every("blocks").alias("a"))
+    met = left.join(right, ["key", "a", "b"]).filter("component != c2 and (c2 = top or v < mark)").filter(_WITHIN).filter(_SIGNS)
     return met.select(F.greatest("mark", "v").alias("u"), F.least("mark", "v").alias("v")).distinct()
 
 
@@ -268,17 +289,20 @@ def near_links(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, marks, sizes, keys = [], [], [], []
+            ids, marks, sizes, keys, sigs = [], [], [], [], []
             for i, t in zip(b.column("doc_id"), b.column("text"), strict=True):
                 whole = sketch(t.as_py())
                 if whole:
+                    hashes = np.frombuffer(whole, "<u8")
                     ids.append(i.as_py())
                     marks.append(mark(whole))
-                    sizes.append(len(whole) // 8)
-                    keys.append(prefix(np.frombuffer(whole, "<u8"), common, rank).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "n", "keys"])
+                    sizes.append(len(hashes))
+                    keys.append(prefix(hashes, common, rank).view(np.int64))
+                    sigs.append(signature(hashes))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, marks, sizes, keys, sigs), kinds, strict=True)], ["doc_id", "mark", "n", "keys", "sig"])
 
-    raw = stored(rows.mapInArrow(run, "doc_id long, mark long, n int, keys array<long>"), "prefixes")
+    raw = stored(rows.mapInArrow(run, "doc_id long, mark long, n int, keys array<long>, sig array<long>"), "prefixes")
     heads = stored(raw.groupBy("mark").agg(F.min("doc_id").alias("id")), "prefix-heads")
     same = raw.select("doc_id", "mark").join(heads, "mark").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).filter("u != v")
     sets = raw.join(heads.select("mark", F.col("id").alias("doc_id")), ["mark", "doc_id"], "left_semi").dropDuplicates(["mark"])
@@ -287,7 +311,7 @@ def near_links(docs: DataFrame) -> DataFrame:
     tried = stored(nominated(small).unionByName(with_hubs(large)).distinct(), "pairs")
     found = stored(verified(rows, heads, tried), "alike")
     if not large.isEmpty():
-        left = across(large, found).join(tried, ["u", "v"], "left_anti")
+        left = across(large, found, sets.select("mark", "sig")).join(tried, ["u", "v"], "left_anti")
         found = found.unionByName(verified(rows, heads, stored(left, "pairs")))
     found = found.join(heads.select(F.col("mark").alias("u"), F.col("id").alias("a")), "u").join(heads.select(F.col("mark").alias("v"), F.col("id").alias("b")), "v")
     return found.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same)
@@ -297,19 +321,28 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each family stays, that with the smallest id; rows without an id stay.
 
     Families are tied by close fingerprints (as in ``families``) and by five-word
-    shingles alike to four fifths (``near_links``).
+    shingles alike to four fifths (``near_links``).  Of rows that repeat an id those
+    with another text are documents of their own; of rows alike in both one stays.
     """
-    tight = stored(families(docs), "families")
+    # whole rows travel as one column, so that no name of theirs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    twice = stored(rows.select(F.col("node").alias("id")).filter("id is not null").groupBy("id").count().filter("count > 1").select("id"), "twice")
+    repeated = not twice.isEmpty()
+    if repeated:
+        again = rows.withColumn("sha", F.sha2("text", 256)).join(twice, F.col("node") == F.col("id"), "left")
+        first = again.filter("id is not null").groupBy(F.col("id").alias("id1")).agg(F.min("sha").alias("sha1"))
+        again = again.join(first, F.col("id") == F.col("id1"), "left")
+        other = F.lit(BEYOND) + F.shiftrightunsigned(F.xxhash64("id", "sha"), 2)
+        rows = stored(again.withColumn("node", F.when(F.col("sha") != F.col("sha1"), other).otherwise(F.col("node"))).drop("id1", "sha1"), "nodes")
+    named = rows.select(F.col("node").alias("doc_id"), "text")
+    tight = stored(families(named), "families")
     ties = tight.filter("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-    found = components(ties.unionByName(near_links(docs)))
-    gone = found.filter("node != component").select(F.col("node").alias("__gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")
-    twice = tight.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
-    if twice.isEmpty():
-        return kept
-    again = twice.select(F.col("doc_id").alias("__gone_id"))
-    same = F.col("doc_id").cast("long") == F.col("__gone_id")
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    found = components(ties.unionByName(near_links(named)))
+    gone = found.filter("node != component").select(F.col("node").alias("gone")).distinct()
+    kept = rows.join(gone, F.col("node") == F.col("gone"), "left_anti")
+    if repeated:
+        kept = kept.filter("id is null").unionByName(kept.filter("id is not null").dropDuplicates(["id", "sha"]))
+    return kept.select("row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, documents, require
+from .shared import bounded_sample, documents, require, tidy
 
 BUCKETS = 1 << 20
 #: Most labelled documents that the machine learns from.
@@ -132,7 +132,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.nd
 
     chosen = F.broadcast(first[0].unionByName(first[1]))  # at most 10,000 rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("label_id"))
-    got = texts.select("label_id", "y", "text").mapInArrow(run, "label_id long, y int, terms array<int>").dropDuplicates(["label_id"]).toArrow().sort_by("label_id")
+    got = texts.select("label_id", "y", "text").mapInArrow(tidy(run), "label_id long, y int, terms array<int>").dropDuplicates(["label_id"]).toArrow().sort_by("label_id")
     toxic = got.column("y").to_numpy().astype(np.int64)
     found = [np.asarray(t, dtype=np.int64) for t in got.column("terms").to_pylist()]
     taken = {y: max(1, int((toxic == y).sum())) for y in (0, 1)}
@@ -159,7 +159,7 @@ def scores(docs: DataFrame, machine: Machine, name: str = "toxicity") -> DataFra
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, name])
 
     schema = docs.withColumn(name, F.lit(0.0)).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -66,6 +66,21 @@ def test_exact_with_repeated_and_null_ids(spark):
     assert left == [(1, "x"), (1, "y"), (None, "z")]
 
 
+def test_one_text_in_most_rows(spark, monkeypatch):
+    """A hot text and many rows without an id: hot groups are broadcast, the others shuffled, none is lost."""
+    monkeypatch.setattr("minutespark.llm.shared.HOT", 16)
+    data = [(i if i % 3 else None, "the  same text" if i % 2 else f"text {i % 40}") for i in range(400)]
+    got = sorted((r.doc_id or -1, r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.decisions(rows(spark, data)).collect())
+    sizes, least = defaultdict(int), {}
+    norm = lambda t: re.sub("[ \t-\r]+", " ", t)
+    for i, t in data:
+        sizes[norm(t)] += 1
+        if i is not None:
+            least[norm(t)] = min(i, least.get(norm(t), i))
+    want = sorted((i or -1, least.get(norm(t)), sizes[norm(t)], hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in data)
+    assert got == want
+
+
 def test_colliding_fingerprints(spark, monkeypatch):
     """Texts of one fingerprint that differ are told apart."""
     df = exact_dedup._chunks
@@ -162,3 +177,29 @@ def test_near_stage(spark):
     assert len(got & set(range(100, 140))) <= 2
     assert all(simhash.alike(simhash.sketch(a), simhash.sketch(b)) >= 0.8 for a, b in [(data[0][1], data[0][1])])
     assert np.isclose(simhash.alike(simhash.sketch("a b c d e f"), simhash.sketch("a b c d e g")), 1 / 3)
+
+
+def test_rows_without_an_id_still_tie_others(spark):
+    """A and C lie four bits apart and meet through a fingerprint that only a row without an id holds."""
+    base = simhash.majority(simhash.shingle_hashes("a b c"))
+    rows = [(1, base), (None, base ^ 0b11), (2, base ^ 0b1111), (3, base ^ (0xFF << 40))]
+    signed = [(i, fp - (1 << 64) if fp >> 63 else fp) for i, fp in rows]
+    real = simhash.fingerprints
+    try:
+        simhash.fingerprints = lambda docs, width: spark.createDataFrame(signed, "doc_id long, fp long")
+        got = {r.doc_id: r.component_id for r in simhash.families(None).collect()}
+    finally:
+        simhash.fingerprints = real
+    assert got == {1: 1, 2: 1, 3: 3, None: None}
+
+
+def test_near_dedup_keeps_distinct_texts_of_a_repeated_id(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    one, two, three = text(), text(), text()
+    docs = spark.createDataFrame([(1, one, "x"), (1, two, "x"), (1, two, "x"), (2, two + " end", "x"), (3, three, "x"), (None, one, "x")], "doc_id long, text string, __first string")
+    got = simhash.near_dedup(docs)
+    assert got.columns == docs.columns
+    left = sorted((r.doc_id or 0, r.text) for r in got.collect())
+    # the second text of id 1 is alike to that of id 2, whose id is the smaller node
+    assert left == sorted([(1, one), (2, two + " end"), (3, three), (0, one)])
