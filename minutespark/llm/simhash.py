@@ -20,7 +20,9 @@ reach each other through them.  Ids from ``BEYOND`` on stand for nodes without o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import documents, require, stored
+from .shared import documents, require, stored, tidy
 
 SEED = 42
 SHINGLE = 3
@@ -77,7 +79,7 @@ def _fingerprint_rows(width: int):
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     require(docs, ["doc_id", "text"])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_rows(width), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_fingerprint_rows(width)), "doc_id long, fp long")
 
 
 def _flips(fp: Column, mask: int) -> Column:
@@ -131,7 +133,9 @@ SAMPLE, COMMON = 20_000, 1 << 18
 #: Members that the others of a crowded group are compared with first, and rows of a block of what is left.
 HUBS, BLOCK = 8, 256
 #: Bits of a signature.
-SIGN = 512
+SIGN = 1024
+#: Prefix shingles that are grouped in one task, on average.
+GROUPED = 1 << 20
 
 
 def sketch(text: str | None) -> bytes:
@@ -170,10 +174,10 @@ def verified(rows: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
     # sets of the nominated alone; a repeated id may bring others, which meet no pair
     asked = pairs.select(F.col("u").alias("mark")).unionByName(pairs.select(F.col("v").alias("mark"))).distinct()
     ids = heads.join(asked, "mark", "left_semi").select(F.col("id").alias("doc_id")).distinct()
-    found = stored(rows.join(ids, "doc_id", "left_semi").select("text").mapInArrow(sets, "mark long, shingles binary"), "sets")
+    found = stored(rows.join(ids, "doc_id", "left_semi").select("text").mapInArrow(tidy(sets), "mark long, shingles binary"), "sets")
     found = found.groupBy("mark").agg(F.min("shingles").alias("shingles"))
     both = pairs.join(found.select(F.col("mark").alias("u"), F.col("shingles").alias("su")), "u").join(found.select(F.col("mark").alias("v"), F.col("shingles").alias("sv")), "v")
-    return both.select("u", "v", "su", "sv").mapInArrow(check, "u long, v long")
+    return both.select("u", "v", "su", "sv").mapInArrow(tidy(check), "u long, v long")
 
 
 def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -197,12 +201,26 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that repeat in a sample of about SAMPLE documents, at most COMMON of them, and in how many documents they stand.
+@dataclass
+class Common:
+    """Shingles that repeat in a sample, in order, and in how many of its documents they stand.
 
-    They only order the shingles, the rare first: no result depends on the sample.
+    They order the shingles of a prefix and route what is grouped; no result depends
+    on the sample.
     """
-    share = SAMPLE / max(1, rows.count())
+
+    keys: np.ndarray
+    counts: np.ndarray
+    shingles: float  # prefix shingles of the whole table, as estimated
+
+    def hot(self) -> np.ndarray:
+        """Those of over SMALL documents of the sample."""
+        return self.keys[self.counts > SMALL]
+
+
+def common_shingles(rows: DataFrame) -> Common:
+    """From about SAMPLE documents; at most COMMON shingles, those of most documents."""
+    share = min(1.0, SAMPLE / max(1, rows.count()))
     if share < 1:
         rows = rows.filter(F.pmod(F.shiftrightunsigned(F.xxhash64("doc_id"), 20), F.lit(1 << 40)) < int(share * (1 << 40)))
 
@@ -211,7 +229,8 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             found = np.concatenate([np.unique(shingle_hashes(t.as_py(), WORDS)) for t in b.column("text")] or [np.empty(0, np.uint64)])
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["key"])
 
-    found = stored(rows.select("text").mapInArrow(run, "key long").groupBy("key").count().filter("count > 1"), "common")
+    counted = stored(rows.select("text").mapInArrow(tidy(run), "key long").groupBy("key").count(), "common")
+    found = counted.filter("count > 1")
     least, left = 2, COMMON
     for r in found.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).toLocalIterator():
         left -= r.n
@@ -221,7 +240,8 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     got = found.filter(F.col("count") >= least).toArrow()
     keys, counts = got.column("key").to_numpy().view(np.uint64), got.column("count").to_numpy()
     order = np.argsort(keys)
-    return keys[order], counts[order]
+    held = counted.agg(F.sum("count")).first()[0] or 0
+    return Common(keys[order], counts[order], held / share / 5)
 
 
 #: Both sets of a pair that stands in a group may still share enough: the shingle that
@@ -229,11 +249,72 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 _WITHIN = "9 * least(n - pos, n2 - pos2) >= 4 * (n + n2)"
 
 
-def groups(sets: DataFrame) -> DataFrame:
-    """key, mark, n, pos and ``count`` of every prefix shingle that several sets have; ``sets``: mark, n, keys."""
-    keyed = sets.select("mark", "n", F.posexplode("keys").alias("pos", "key"))
-    sizes = keyed.groupBy("key").count().filter("count > 1")
-    return stored(keyed.join(sizes, "key"), "groups")
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, mark, n, pos) of all prefix shingles of a batch of ``prefixes``."""
+    for b in batches:
+        lists = b.column("keys")
+        size = np.diff(lists.offsets.to_numpy())
+        keys = lists.flatten().to_numpy()
+        at = np.arange(len(keys), dtype=np.int32) - np.repeat(np.cumsum(size) - size, size).astype(np.int32)
+        yield keys, np.repeat(b.column("mark").to_numpy(), size), np.repeat(b.column("n").to_numpy(), size), at
+
+
+_ENTRY = ["key", "mark", "n", "pos"]
+
+
+def _met(key, table):
+    """The entries of keys that several sets have, each set once, and how many they are."""
+    k, m, n, pos = (np.concatenate([np.empty(0, np.int64), *(c.flatten().to_numpy() for c in table.column(x).chunks)]) for x in _ENTRY)
+    order = np.lexsort((pos, m, k))
+    k, m, n, pos = (x[order] for x in (k, m, n, pos))
+    first = np.ones(len(k), dtype=bool)
+    first[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
+    k, m, n, pos = (x[first] for x in (k, m, n, pos))
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+    count = np.repeat(np.diff(begin, append=len(k)), np.diff(begin, append=len(k)))
+    on = count > 1
+    return pa.table({"key": k[on], "mark": m[on], "n": n[on].astype(np.int32), "pos": pos[on].astype(np.int32), "count": count[on].astype(np.int64)})
+
+
+def groups(prefixes: DataFrame, common: Common) -> DataFrame:
+    """key, mark, n, pos and ``count`` of every prefix shingle that several sets have; ``prefixes``: mark, n, keys.
+
+    Most prefix shingles stand in one set alone.  They travel once, packed, to the
+    task of their hash, and only those that meet come out of it as rows.  Shingles
+    known to be frequent, which could fill such a task, are grouped as rows instead,
+    after each task has counted its own.
+    """
+    tasks = max(1, math.ceil(common.shingles / GROUPED))
+    hot = common.hot().view(np.int64)
+    hot = np.sort(hot)
+
+    def is_hot(k: np.ndarray) -> np.ndarray:
+        return hot[np.minimum(np.searchsorted(hot, k), len(hot) - 1)] == k if len(hot) else np.zeros(len(k), dtype=bool)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for entries in _entries(batches):
+            cold = ~is_hot(entries[0])
+            entries = [x[cold] for x in entries]
+            # shingles are hashes already
+            to = ((entries[0].view(np.uint64) >> np.uint64(20)) % np.uint64(tasks)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            task, size = np.unique(to, return_counts=True)
+            ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in entries]
+            yield pa.RecordBatch.from_arrays([pa.array(task), *lists], ["task", *_ENTRY])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for entries in _entries(batches):
+            on = is_hot(entries[0])
+            yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in entries], _ENTRY)
+
+    rows = prefixes.select("mark", "n", "keys")
+    packed = rows.mapInArrow(tidy(deal), "task long, key array<long>, mark array<long>, n array<int>, pos array<int>")
+    met = packed.groupBy("task").applyInArrow(_met, "key long, mark long, n int, pos int, count long")
+    frequent = rows.mapInArrow(single, "key long, mark long, n int, pos int").groupBy("key", "mark").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    frequent = stored(frequent, "frequent")
+    sizes = F.broadcast(frequent.groupBy("key").count().filter("count > 1"))  # at most COMMON rows
+    return stored(met.unionByName(frequent.join(sizes, "key").select(*met.columns)), "groups")
 
 
 def nominated(members: DataFrame) -> DataFrame:
@@ -254,6 +335,13 @@ def with_hubs(members: DataFrame) -> DataFrame:
 _SIGNS = "9 * (" + " + ".join(f"bit_count(sig[{i}] ^ sig2[{i}])" for i in range(SIGN // 64)) + ") <= n + n2"
 
 
+def plausible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """The pairs (u, v) that their signatures (mark, n, sig) do not rule out."""
+    u = signs.select(F.col("mark").alias("u"), "n", "sig")
+    v = signs.select(F.col("mark").alias("v"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))
+    return pairs.join(u, "u").join(v, "v").filter(_SIGNS).select("u", "v")
+
+
 def across(members: DataFrame, links: DataFrame, signs: DataFrame) -> DataFrame:
     """Of those pairs all that ``links`` do not tie already, directly or through others.
 
@@ -266,7 +354,7 @@ def across(members: DataFrame, links: DataFrame, signs: DataFrame) -> DataFrame:
     sizes = parts.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     most = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     most = most.select("key", F.col("top.component").alias("top"), F.ceil(F.col("m") / BLOCK).alias("all_blocks"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).alias("blocks"))
-    open_ = stored(parts.join(most, "key").join(signs, "mark"), "open")
+    open_ = stored(parts.join(most, "key").join(signs.select("mark", "sig"), "mark"), "open")
     place, every = lambda n: F.pmod(F.xxhash64("mark"), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = open_.filter("component != top").select("key", "mark", "n", "pos", "sig", "component", place("blocks").alias("a"), every("all_blocks").alias("b"))
     right = open_.select("key", F.col("mark").alias("v"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("sig").alias("sig2"), F.col("component").alias("c2"), "top", place("all_blocks").alias("b"), every("blocks").alias("a"))
@@ -285,11 +373,12 @@ def near_links(docs: DataFrame) -> DataFrame:
     collapsed first.  Texts without words link to nothing.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    common, rank = common_shingles(rows)
+    common = common_shingles(rows)
+    keys, rank = common.keys, common.counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, marks, sizes, keys, sigs = [], [], [], [], []
+            ids, marks, sizes, firsts, sigs = [], [], [], [], []
             for i, t in zip(b.column("doc_id"), b.column("text"), strict=True):
                 whole = sketch(t.as_py())
                 if whole:
@@ -297,21 +386,22 @@ def near_links(docs: DataFrame) -> DataFrame:
                     ids.append(i.as_py())
                     marks.append(mark(whole))
                     sizes.append(len(hashes))
-                    keys.append(prefix(hashes, common, rank).view(np.int64))
+                    firsts.append(prefix(hashes, keys, rank).view(np.int64))
                     sigs.append(signature(hashes))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, marks, sizes, keys, sigs), kinds, strict=True)], ["doc_id", "mark", "n", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, marks, sizes, firsts, sigs), kinds, strict=True)], ["doc_id", "mark", "n", "keys", "sig"])
 
-    raw = stored(rows.mapInArrow(run, "doc_id long, mark long, n int, keys array<long>, sig array<long>"), "prefixes")
+    raw = stored(rows.mapInArrow(tidy(run), "doc_id long, mark long, n int, keys array<long>, sig array<long>"), "prefixes")
     heads = stored(raw.groupBy("mark").agg(F.min("doc_id").alias("id")), "prefix-heads")
     same = raw.select("doc_id", "mark").join(heads, "mark").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).filter("u != v")
-    sets = raw.join(heads.select("mark", F.col("id").alias("doc_id")), ["mark", "doc_id"], "left_semi").dropDuplicates(["mark"])
-    members = groups(sets)
+    members = groups(raw, common)
+    signs = raw.join(members.select("mark").distinct(), "mark", "left_semi").select("mark", "n", "sig").dropDuplicates(["mark"])
+    signs = stored(signs, "signatures")
     small, large = members.filter(F.col("count") <= SMALL), members.filter(F.col("count") > SMALL)
-    tried = stored(nominated(small).unionByName(with_hubs(large)).distinct(), "pairs")
+    tried = stored(plausible(nominated(small).unionByName(with_hubs(large)).distinct(), signs), "pairs")
     found = stored(verified(rows, heads, tried), "alike")
     if not large.isEmpty():
-        left = across(large, found, sets.select("mark", "sig")).join(tried, ["u", "v"], "left_anti")
+        left = across(large, found, signs).join(tried, ["u", "v"], "left_anti")
         found = found.unionByName(verified(rows, heads, stored(left, "pairs")))
     found = found.join(heads.select(F.col("mark").alias("u"), F.col("id").alias("a")), "u").join(heads.select(F.col("mark").alias("v"), F.col("id").alias("b")), "v")
     return found.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same)
