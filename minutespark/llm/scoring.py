@@ -1,22 +1,31 @@
 """Language-model scoring: a log-bilinear neural model trained by noise contrast.
 
-Tokens are words between white space, A-Z lowered, and one end a document.  The
-model predicts the class of a token from the classes of the two before it, and the
-token from its class.  Frequent words and the end are classes of their own; all
-others fall into classes by their last two bytes, where counts smoothed by 0.1
-decide.  The class model is log-bilinear: a context (a, b) gives the vector
-A[a] + B[b], a class c the score (A[a] + B[b]) . R[c] + bias[c], and batched matrix
-products over all contexts give the logarithm of the sum, so every probability is
-normalised.
-
-Everything counted covers the whole training part of the corpus: words (a shuffle
-that grows with the text) and triples of classes, from which noise-contrastive
-estimation draws its positives, shard by shard; shards average their parameters
-after each round.  Only the frequent words, of bounded number, are broadcast;
-counts of the others are joined to the documents.
+Tokens are words between white space, A-Z lowered, and one end a document.  A token's
+probability is factored: of its class after the classes of the two tokens before it,
+and of the token within its class after the class of the token before it.  The most
+frequent words and the end are classes of their own; the others are dealt to classes
+by their last two bytes, which makes every product below a bounded table.
+
+Both factors are log-bilinear.  A context (a, b) gives the vector A[a] + B[b], a class
+c the score (A[a] + B[b]) . R[c] + bias[c]; within a class the context b gives V[b], a
+word w the score V[b] . W[w] + bias[w].  The ``VOCABULARY`` most frequent words have
+vectors of their own; in each class one more stands for the words beyond them, whose
+counts smoothed by 0.1 decide among them.  Batched matrix products over all contexts
+give the logarithms of the sums, so every probability is normalised.
+
+Everything counted covers the whole training part of the corpus: words, triples of
+classes, and pairs of a class and a word, by shuffles that grow with the text.
+Noise-contrastive estimation draws its positives from these counts.  The triples are
+descended in shards that average their parameters after each round; the classes of
+words are dealt to shards that share no word.  The number of draws is fixed
+(``ROUNDS`` * ``STEPS`` * ``BATCH`` a shard), as that of the parameters is.
+
+Only the ``FREQUENT`` words, of bounded number, are broadcast; counts of the others
+are joined to the documents.  Texts are cut into words twice: to count them, and to
+write them as numbers, which all later passes read.
 
 Null and empty texts have the end alone.  Repeated rows count each time; null ids
-are scored and belong to training.
+are scored and belong to training.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +33,7 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,18 +41,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, require, stored
+from .shared import HOT, documents, require, stored, tidy
 
 #: Classes: single words (with the end) and groups of the others.
 HEADS, TAILS = 192, 64
 CLASSES = HEADS + TAILS
-DIM = 32
+#: Numbers of a class's and of a word's vector.
+DIM, WORD_DIM = 32, 16
+#: Words with vectors of their own.
+VOCABULARY = 1 << 16
 #: Words whose counts are broadcast (their bytes bounded as well); the others are joined.
 FREQUENT, LONGEST = 1 << 18, 40
-#: Shards of the triples, rounds of averaging, and steps of a round.
+#: Shards of the descent, rounds of averaging, and steps of a round.
 SHARDS, ROUNDS, STEPS, BATCH, NOISE, RATE = 6, 3, 500, 1024, 64, 0.15
+#: Steps within classes, positives of a step, and noise words of each.
+WORD_STEPS, WORD_BATCH, WORD_NOISE, WORD_RATE = 1200, 2048, 8, 0.1
 #: Distinct words a task holds before it hands on their counts.
 HELD = 400_000
+#: Keys counted, and tokens scored, at once.
+COUNTED, SCORED = 1 << 22, 1 << 17
 SMOOTH = 0.1
 
 
@@ -77,15 +93,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Vocabulary:
-    """What the driver keeps of the counts: bounded by FREQUENT words."""
+    """What the driver keeps of the counts: bounded by FREQUENT words.
 
-    frequent: dict[bytes, int]
-    heads: dict[bytes, int]
+    A word's number is its rank.  Classes: 0 is the end, 1 to HEADS - 1 the first
+    words, the others groups.
+    """
+
+    words: list[bytes]
+    counts: np.ndarray
     n: int  # tokens, ends included
     v: int  # distinct tokens, the end included
     ends: int
@@ -93,14 +113,25 @@ class Vocabulary:
     class_v: np.ndarray  # distinct words of each class
     floor: int  # words of lower classes of counts are not among the frequent
 
-    def word_log(self, n: np.ndarray) -> np.ndarray:
-        """log10 of the base probability of a token seen n times."""
+    @property
+    def known(self) -> int:
+        """Words with vectors."""
+        return min(VOCABULARY, len(self.words))
+
+    def classes(self) -> np.ndarray:
+        """Of each frequent word."""
+        return np.array([i + 1 if i < HEADS - 1 else tail_class(w) for i, w in enumerate(self.words)], dtype=np.int64)
+
+    def log10(self, n: np.ndarray) -> np.ndarray:
+        """The base probability of a token seen n times."""
         return np.log10((n + SMOOTH) / (self.n + SMOOTH * (self.v + 1)))
 
-    def tail_shift(self) -> np.ndarray:
-        """What turns a base logarithm into that within a class, by tail class."""
-        own = self.class_n[HEADS:] + SMOOTH * (self.class_v[HEADS:] + 1)
-        return np.log10(self.n + SMOOTH * (self.v + 1)) - np.log10(own)
+    def beyond(self) -> np.ndarray:
+        """Of each group the smoothed sum of the counts of its words without vectors."""
+        c = self.classes()[: self.known]
+        n = self.class_n - np.bincount(c, self.counts[: self.known] * (c >= HEADS), CLASSES)
+        v = self.class_v - np.bincount(c, c >= HEADS, CLASSES)
+        return (n + SMOOTH * (v + 1))[HEADS:]
 
 
 def _rank_class(n: Column) -> Column:
@@ -108,6 +139,11 @@ def _rank_class(n: Column) -> Column:
     return F.floor(F.log2(n) * 32).cast("int")
 
 
+def _group(word: Column) -> Column:
+    """As ``tail_class``, from 0."""
+    return F.crc32(F.substring(word, F.greatest(F.length(word) - 1, F.lit(1)), F.lit(2))) % TAILS
+
+
 def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
     # the lowest class of counts with which FREQUENT holds; no word is ordered for it
     short = counts.filter(F.length("word") <= LONGEST).withColumn("c", _rank_class(F.col("n")))
@@ -118,65 +154,140 @@ def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
         floor = r.c
     top = short.filter(F.col("c") >= floor).select("word", "n").toArrow()  # at most FREQUENT rows
     order = sorted(zip((-n for n in top.column("n").to_pylist()), top.column("word").to_pylist(), strict=True))
-    frequent = {bytes(w): -n for n, w in order}
-    heads = {w: i + 1 for i, w in enumerate(list(frequent)[: HEADS - 1])}  # class 0 is the end
+    words = [bytes(w) for _, w in order]
 
-    group = F.lit(HEADS) + F.crc32(F.substring(F.col("word"), F.greatest(F.length("word") - 1, F.lit(1)), F.lit(2))) % TAILS
+    group = F.lit(HEADS) + _group(F.col("word"))
     per = {int(r.c): (r.n, r.v) for r in counts.groupBy(group.alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
     for c, (n, v) in per.items():
         class_n[c], class_v[c] = n, v
     total, distinct = int(class_n.sum()), int(class_v.sum())
-    for w, i in heads.items():
-        c = tail_class(w)
-        class_n[i], class_v[i] = frequent[w], 1
-        class_n[c] -= frequent[w]
+    for i, (n, w) in enumerate(order[: HEADS - 1], 1):
+        c = tail_class(bytes(w))
+        class_n[i], class_v[i] = -n, 1
+        class_n[c] += n
         class_v[c] -= 1
     class_n[0], class_v[0] = n_docs, 1 if n_docs else 0
-    return Vocabulary(frequent, heads, total + n_docs, distinct + (1 if n_docs else 0), n_docs, class_n, class_v, floor)
+    return Vocabulary(words, np.array([-n for n, _ in order], dtype=np.int64), total + n_docs, distinct + (1 if n_docs else 0), n_docs, class_n, class_v, floor)
 
 
-class Coder:
-    """Texts as classes; remembers the class of words already met, up to a bound."""
+# --- texts as numbers
 
-    def __init__(self, heads: dict[bytes, int]):
-        self._known = dict(heads)
-        self._heads = heads
 
-    def classes(self, ws: list[bytes]) -> np.ndarray:
-        known = self._known
-        if len(known) > HELD:
-            known = self._known = dict(self._heads)
-        for w in set(ws).difference(known):
-            known[w] = tail_class(w)
-        out = np.zeros(len(ws) + 3, dtype=np.int64)  # two ends before, one behind
-        out[2:-1] = np.fromiter(map(known.__getitem__, ws), dtype=np.int64, count=len(ws))
-        return out
+class _Numbers(dict):
+    """Numbers of words; of one beyond the frequent, below zero, by its group.  Remembers up to a bound."""
 
+    def __init__(self, words: list[bytes]):
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self._most = len(words) + HELD
 
-def triples(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(key, n): how often class c follows a, b; key = (a * CLASSES + b) * CLASSES + c."""
-    heads = vocabulary.heads
+    def __missing__(self, w: bytes) -> int:
+        n = HEADS - 1 - tail_class(w)
+        if len(self) < self._most:
+            self[w] = n
+        return n
+
+
+def encode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """at (a number of the row), doc_id, train, ids, and the words beyond the frequent with their times; stored."""
+    words_ = vocabulary.words
+    names = ["at", "doc_id", "train", "ids", "rare", "times"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, held, size = Coder(heads), [], 0
+        from pyspark import TaskContext
+
+        number, at = _Numbers(words_), TaskContext.get().partitionId() << 33
+        for b in batches:
+            ids, rare, times = [], [], []
+            for t in b.column("text"):
+                ws = words(t.as_py())
+                x = np.fromiter(map(number.__getitem__, ws), dtype=np.int32, count=len(ws))
+                held = Counter(ws[i] for i in np.flatnonzero(x < 0).tolist())
+                ids.append(x)
+                rare.append(list(held))
+                times.append(list(held.values()))
+            cols = [pa.array(np.arange(at, at + len(ids))), b.column("doc_id"), b.column("train"), *(pa.array(x, k) for x, k in zip((ids, rare, times), kinds[3:], strict=True))]
+            at += len(ids)
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return stored(rows.select("doc_id", "train", "text").mapInArrow(tidy(run), "at long, doc_id long, train boolean, ids array<int>, rare array<binary>, times array<long>"), "encoded")
+
+
+@dataclass
+class Tokens:
+    """All tokens of a batch of documents, each document's end included."""
+
+    a: np.ndarray  # class two before
+    b: np.ndarray  # class before
+    c: np.ndarray  # class
+    word: np.ndarray  # number of the word; -1 for ends, lower beyond the frequent
+    size: np.ndarray  # tokens of each document
+
+    @classmethod
+    def of(cls, lists: pa.ListArray, class_of: np.ndarray) -> Tokens:
+        off = lists.offsets.to_numpy()
+        n, ids = np.diff(off), lists.flatten().to_numpy()
+        docs = np.arange(len(n))
+        # two ends before each document and one behind it
+        place = np.arange(len(ids)) + 2 + 3 * np.repeat(docs, n)
+        c = np.zeros(len(ids) + 3 * len(n), dtype=np.int64)
+        c[place] = np.where(ids >= 0, class_of[np.maximum(ids, 0)] if len(class_of) else 0, HEADS - 1 - ids)
+        word = np.full(len(c), -1, dtype=np.int64)
+        word[place] = np.where(ids >= 0, ids, -2)
+        told = np.ones(len(c), dtype=bool)
+        starts = off[:-1] - off[0] + 3 * docs
+        told[starts] = told[starts + 1] = False
+        at = np.flatnonzero(told)
+        return cls(c[at - 2], c[at - 1], c[at], word[at], n + 1)
+
+
+def slots(t: Tokens, known: int) -> np.ndarray:
+    """Where a token of a group stands among the word vectors: its own place, or that of its group's other words."""
+    return np.where((t.word >= 0) & (t.word < known), t.word, known + t.c - HEADS)
+
+
+def counted(encoded: DataFrame, keys: Callable[[Tokens], tuple[np.ndarray, np.ndarray]], class_of: np.ndarray) -> DataFrame:
+    """(shard, key, n) over the training documents; ``keys`` gives shards (below SHARDS) and keys of tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array((key % SHARDS).astype(np.int32)), pa.array(key // SHARDS), pa.array(n.astype(np.int64))], ["shard", "key", "n"])
 
         for b in batches:
-            for t in b.column(0):
-                c = coder.classes(words(t.as_py()))
-                held.append((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:])
-                size += len(c)
-                if size > 1 << 22:
-                    yield out()
-                    held, size = [], 0
+            shard, key = keys(Tokens.of(b.column("ids"), class_of))
+            held.append(key * SHARDS + shard)
+            size += len(key)
+            if size > COUNTED:
+                yield out()
+                held, size = [], 0
         if held:
             yield out()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return encoded.filter("train").select("ids").mapInArrow(tidy(run), "shard int, key long, n long").groupBy("shard", "key").agg(F.sum("n").alias("n"))
+
+
+def triples(encoded: DataFrame, class_of: np.ndarray) -> DataFrame:
+    """How often class c follows a, b; key = (a * CLASSES + b) * CLASSES + c, dealt to shards by a hash."""
+
+    def keys(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        key = (t.a * CLASSES + t.b) * CLASSES + t.c
+        return (key * 0x9E3779B1 >> 16) % SHARDS, key
+
+    return counted(encoded, keys, class_of)
+
+
+def pairs(encoded: DataFrame, class_of: np.ndarray, known: int) -> DataFrame:
+    """How often a slot of a group follows class b; key = slot * CLASSES + b, a shard holds whole groups."""
+
+    def keys(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        on = t.c >= HEADS
+        return (t.c[on] - HEADS) % SHARDS, slots(t, known)[on] * CLASSES + t.b[on]
+
+    return counted(encoded, keys, class_of)
 
 
 # --- the model
@@ -257,12 +368,12 @@ def _local_round(r: int, start: bytes, unigram: np.ndarray, plan: tuple[int, int
     return run
 
 
-def train(counts: DataFrame, unigram: np.ndarray, shards: int = SHARDS, rounds: int = ROUNDS, steps: int = STEPS, seed: int = 0) -> Bilinear:
+def train(counts: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS, steps: int = STEPS, seed: int = 0) -> Bilinear:
     """Rounds of local descent on shards of the triples, and averages of the parameters.
 
-    A shard holds at most CLASSES^3 / shards triples; positives are drawn by their counts.
+    A shard holds at most CLASSES^3 / SHARDS triples; positives are drawn by their counts.
     """
-    sharded = stored(counts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")), "triples")
+    sharded = stored(counts, "triples")
     m, grads = Bilinear.start(unigram, seed), None
     for r in range(rounds):
         start = pickle.dumps((m, grads))
@@ -279,75 +390,165 @@ def train(counts: DataFrame, unigram: np.ndarray, shards: int = SHARDS, rounds:
     return m
 
 
+@dataclass
+class Inner:
+    """The model within the groups: vectors of the contexts (of each shard) and of the slots."""
+
+    v: np.ndarray  # SHARDS, CLASSES, WORD_DIM
+    w: np.ndarray  # slots, WORD_DIM
+    bias: np.ndarray
+    group: np.ndarray  # group of each slot, or -1
+
+    def logs(self) -> np.ndarray:
+        """Logarithms of the sums over each group, by (group, context class), by one product a group."""
+        out = np.zeros((TAILS, CLASSES))
+        order = np.argsort(self.group, kind="stable")
+        cuts = np.searchsorted(self.group[order], np.arange(TAILS + 1))
+        for g in range(TAILS):
+            own = order[cuts[g] : cuts[g + 1]]
+            s = self.v[g % SHARDS] @ self.w[own].T + self.bias[own]
+            if len(own):
+                top = s.max(axis=1)
+                out[g] = top + np.log(np.exp(s - top[:, None]).sum(axis=1, dtype=np.float64))
+        return out
+
+    def score(self, group: np.ndarray, b: np.ndarray, slot: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probability of slots in their groups after class b."""
+        return (self.v[group % SHARDS, b] * self.w[slot]).sum(axis=1) + self.bias[slot] - logs[group, b]
+
+
+def _word_descent(group: np.ndarray, seed: int):
+    """Noise-contrastive descent within the groups of one shard; noise comes from the group's own counts."""
+
+    def run(key, table):
+        k, n = table.column("key").to_numpy(), table.column("n").to_numpy()
+        order = np.argsort(k, kind="stable")
+        k, n = k[order], n[order]
+        slot, b = k // CLASSES, k % CLASSES
+        own, at = np.unique(slot, return_inverse=True)
+        # slots in the order of their groups, so that a group's noise is a range of the running sum
+        by = np.argsort(group[own], kind="stable")
+        own, at = own[by], np.argsort(by, kind="stable")[at]
+        count = np.bincount(at, n, len(own))
+        g = group[own]
+        sums = np.concatenate([[0.0], np.cumsum(count)])
+        begin, end = sums[np.searchsorted(g, g, side="left")], sums[np.searchsorted(g, g, side="right")]
+        log_q = np.log(count / (end - begin)).astype(np.float32)
+        rng = np.random.default_rng([seed, key[0].as_py()])
+        v = rng.normal(0, 0.1, (CLASSES, WORD_DIM)).astype(np.float32)
+        w = rng.normal(0, 0.1, (len(own), WORD_DIM)).astype(np.float32)
+        bias = log_q.copy()
+        gv, gw, gb = np.full(CLASSES, 1e-6), np.full(len(own), 1e-6), np.full(len(own), 1e-6)
+        ends = np.cumsum(n)
+        log_k = np.log(WORD_NOISE)
+
+        def summed(where: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            o = np.argsort(where, kind="stable")
+            cuts = np.flatnonzero(np.diff(where[o], prepend=-1))
+            return where[o][cuts], np.add.reduceat(x[o], cuts, axis=0)
+
+        for step in range(WORD_STEPS):
+            x = np.searchsorted(ends, rng.integers(0, ends[-1], WORD_BATCH), side="right")
+            p, c = at[x], b[x]
+            u = begin[p][:, None] + rng.random((WORD_BATCH, WORD_NOISE)) * (end - begin)[p][:, None]
+            noise = np.clip(np.searchsorted(sums, u, side="right") - 1, 0, len(own) - 1)
+            both = np.concatenate([p[:, None], noise], axis=1)
+            h, r = v[c], w[both]
+            z = np.einsum("nd,nkd->nk", h, r) + bias[both] - log_q[both] - log_k
+            grad = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            grad[:, 0] -= 1
+            grad = (grad / WORD_BATCH).astype(np.float32)
+            rate = WORD_RATE * (1 - 0.9 * step / WORD_STEPS)
+            for param, total, where, part in ((v, gv, c, np.einsum("nk,nkd->nd", grad, r)), (w, gw, both.ravel(), (grad[:, :, None] * h[:, None, :]).reshape(-1, WORD_DIM))):
+                i, d = summed(where, part)
+                total[i] += (d * d).mean(axis=1)
+                param[i] -= rate * d / np.sqrt(total[i])[:, None].astype(np.float32)
+            i, d = summed(both.ravel(), grad.ravel())
+            gb[i] += d * d
+            bias[i] -= rate * d / np.sqrt(gb[i])
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "model": pa.array([pickle.dumps((own, v, w, bias))], pa.binary())})
+
+    return run
+
+
+def train_words(counts: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> Inner:
+    """Each shard learns its groups alone; what comes back are WORD_DIM numbers a slot."""
+    known = vocabulary.known
+    group = np.concatenate([vocabulary.classes()[:known] - HEADS, np.arange(TAILS)])
+    group[group < 0] = -1
+    size = known + TAILS
+    share = np.concatenate([vocabulary.counts[:known], np.maximum(vocabulary.beyond(), SMOOTH)])
+    m = Inner(np.zeros((SHARDS, CLASSES, WORD_DIM), np.float32), np.zeros((size, WORD_DIM), np.float32), np.log(share).astype(np.float32), group)
+    total = np.bincount(group[group >= 0], share[group >= 0], TAILS)
+    m.bias[group >= 0] -= np.log(np.maximum(total, SMOOTH))[group[group >= 0]].astype(np.float32)
+    for r in counts.groupBy("shard").applyInArrow(_word_descent(group, seed), "shard int, model binary").collect():
+        own, v, w, bias = pickle.loads(r.model)
+        m.v[r.shard], m.w[own], m.bias[own] = v, w, bias
+    return m
+
+
 # --- scores
 
 
-def score(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row."""
+def score(docs: DataFrame, trains: Column) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; rows that ``trains`` tells are learnt from."""
     require(docs, ["doc_id", "text"])
-    counts = stored(word_counts(training), "words")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(trains, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
+    training = rows.filter("train")
+    counts = stored(word_counts(training.select("text")), "words")
     vocab = vocabulary(counts, training.count())
+    encoded = encode(rows, vocab)
+    class_of, known = vocab.classes(), vocab.known
     unigram = np.maximum(vocab.class_n, 0.5)
     unigram = unigram / unigram.sum()
-    model = train(triples(training, vocab), unigram)
-    frequent, heads, shift = vocab.frequent, vocab.heads, vocab.tail_shift()
+    model = train(triples(encoded, class_of), unigram)
+    inner = train_words(pairs(encoded, class_of, known), vocab)
+    base = vocab.log10(vocab.counts)
+    end = float(vocab.log10(np.array([vocab.ends]))[0])
+    beyond = vocab.beyond()
+    # of a frequent word without a vector: its share of its group's other words
+    group = np.maximum(class_of - HEADS, 0)
+    within = np.where((np.arange(len(class_of)) >= known) & (class_of >= HEADS), np.log10((vocab.counts + SMOOTH) / beyond[group]), 0.0) if len(class_of) else np.zeros(0)
     state: dict = {}
-    names = ["at", "doc_id", "n_tokens", "known", "base", "model", "rare", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         if not state:
-            names_, n = list(frequent), np.fromiter(frequent.values(), dtype=np.int64, count=len(frequent))
-            logs = vocab.word_log(n)
-            within = np.array([0.0 if w in heads else shift[tail_class(w) - HEADS] for w in names_]) if names_ else np.zeros(0)
-            tail = np.array([w not in heads for w in names_], dtype=bool)
-            # of a frequent word: its base logarithm, and that within its class (none for heads)
-            state["logs"] = dict(zip(names_, zip(logs.tolist(), np.where(tail, logs + within, 0.0).tolist(), strict=True), strict=True))
-            state["tables"] = model.tables()
-        logs, (ra, rb, logz) = state["logs"], state["tables"]
-        end = float(vocab.word_log(np.array([vocab.ends]))[0])
-        at, coder = TaskContext.get().partitionId() << 33, Coder(heads)
+            state["tables"], state["logs"] = model.tables(), inner.logs()
+        (ra, rb, logz), logs = state["tables"], state["logs"]
         for b in batches:
-            out: list[list] = [[] for _ in names]
-            for i, t in zip(b.column("doc_id"), b.column("text"), strict=True):
-                ws = words(t.as_py())
-                c = coder.classes(ws)
-                a, m, x = c[:-2], c[1:-1], c[2:]
-                net = float((ra[a, x] + rb[m, x] - logz[a, m]).sum()) / np.log(10)
-                got = list(map(logs.get, ws))
-                base = inner = 0.0
-                known = 0
-                rare: Counter = Counter()
-                for w, g in zip(ws, got, strict=True):
-                    if g is None:
-                        rare[w] += 1
-                    else:
-                        base += g[0]
-                        inner += g[1]
-                        known += 1
-                for v, y in zip(out, (at, i.as_py(), len(ws) + 1, known + (vocab.ends > 0), base + end, net + inner, list(rare), list(rare.values())), strict=True):
-                    v.append(y)
-                at += 1
-            kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.binary()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
-
-    schema = "at long, doc_id long, n_tokens long, known long, base double, model double, rare array<binary>, times array<long>"
-    rows = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "scored")
-
-    # rare words meet their counts, once a document
-    rare = rows.select("at", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("at", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+            t = Tokens.of(b.column("ids"), class_of)
+            net, plain = np.zeros(len(t.c)), np.full(len(t.c), end)
+            held = t.word >= 0
+            if len(base):
+                plain[held] = base[t.word[held]]
+            plain[t.word == -2] = 0
+            slot = slots(t, known)
+            for i in range(0, len(t.c), SCORED):
+                j = slice(i, i + SCORED)
+                net[j] = (ra[t.a[j], t.c[j]] + rb[t.b[j], t.c[j]] - logz[t.a[j], t.b[j]]) / np.log(10)
+                tail = i + np.flatnonzero(t.c[j] >= HEADS)
+                net[tail] += inner.score(t.c[tail] - HEADS, t.b[tail], slot[tail], logs) / np.log(10)
+            if len(base):
+                net[held] += within[t.word[held]]
+            first = np.cumsum(t.size) - t.size
+            sums = [np.add.reduceat(x, first) if len(first) else np.zeros(0) for x in (plain, net, ((t.word >= 0) | ((t.word == -1) & (vocab.ends > 0))).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column("at"), b.column("doc_id"), pa.array(t.size.astype(np.int64)), *map(pa.array, sums)], ["at", "doc_id", "n_tokens", "base", "model", "known"])
+
+    summed = encoded.select("at", "doc_id", "ids").mapInArrow(tidy(run), "at long, doc_id long, n_tokens long, base double, model double, known long")
+
+    # words beyond the frequent meet their counts, once a document
+    rare = encoded.select("at", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("at", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     table = counts.filter((_rank_class(F.col("n")) < vocab.floor) | (F.length("word") > LONGEST))
-    denominator = float(vocab.n + SMOOTH * (vocab.v + 1))
-    group = F.crc32(F.substring(F.col("word"), F.greatest(F.length("word") - 1, F.lit(1)), F.lit(2))) % TAILS
-    within = F.element_at(F.array(*[F.lit(float(x)) for x in shift]), (group + 1).cast("int"))
-    base = F.log10((F.coalesce("n", F.lit(0)) + F.lit(SMOOTH)) / F.lit(denominator))
-    sums = (
-        rare.join(table, "word", "left")
-        .groupBy("at")
-        .agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * base).alias("rare_base"), F.sum(F.col("times") * (base + within)).alias("rare_model"))
+    n = F.coalesce("n", F.lit(0)) + F.lit(SMOOTH)
+    own = F.element_at(F.array(*[F.lit(float(x)) for x in beyond]), (_group(F.col("word")) + 1).cast("int"))
+    # a long word may be that of a third of all rows: such are few, and broadcast
+    joined = rare_counts(rare, table)
+    sums = joined.groupBy("at").agg(
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("times") * F.log10(n / F.lit(float(vocab.n + SMOOTH * (vocab.v + 1))))).alias("rare_base"),
+        F.sum(F.col("times") * F.log10(n / own)).alias("rare_model"),
     )
-    done = rows.drop("rare", "times").join(sums, "at", "left")
+    done = summed.join(sums, "at", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return done.select(
         "doc_id", "n_tokens",
@@ -358,9 +559,20 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     )
 
 
+def rare_counts(rare: DataFrame, table: DataFrame) -> DataFrame:
+    """(at, word, times) with the training count ``n`` of the word, null for one never seen.
+
+    Words of many occurrences, which only their length keeps from being frequent, are
+    fewer than HOT and broadcast; the others meet their counts by a shuffle.
+    """
+    least = (table.agg(F.sum("n")).first()[0] or 0) // HOT
+    hot = F.broadcast(table.filter(F.col("n") > least))
+    met = rare.join(hot, "word")
+    return met.unionByName(rare.join(hot.select("word"), "word", "left_anti").join(table.filter(F.col("n") <= least), "word", "left"))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = score(docs, docs.filter(~held_out(F.col("doc_id"))))
+    found = score(documents(spark, sf_dir).select("doc_id", "text"), ~held_out(F.col("doc_id")))
     return found.withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
