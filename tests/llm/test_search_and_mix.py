@@ -64,27 +64,68 @@ def corpus(spark):
     return data, spark.createDataFrame(data, "doc_id long, source string, text string")
 
 
-def test_mix(spark):
+def brute_mix(rows, weights, budget):
+    """How often each (doc_id, place) is dealt; ``rows``: doc_id, source, tokens, place."""
+    per = Counter()
+    for _, s, n, _ in rows:
+        per[s] += n
+    out = Counter()
+    for s, n in per.items():
+        part = budget * weights.get(s, 0) / n if n else 1.0
+        if n and not weights.get(s, 0):
+            continue
+        whole = math.floor(part + 1e-6)
+        room = round(max(0.0, part - whole) * n)
+        own = sorted((p, i, t) for i, x, t, p in rows if x == s)
+        for p, i, _ in own:
+            out[i, p] += whole
+        taken = 0
+        for p, i, t in own:
+            if taken + t > room or room == 0:
+                break
+            taken += t
+            out[i, p] += 1
+    return +out
+
+
+@pytest.mark.parametrize(("bits", "edge"), [(10, 1 << 20), (3, 200), (2, 1)])
+def test_mix(spark, monkeypatch, bits, edge):
+    """Weights against the exponent's definition, and each row's epochs against brute force, at every depth of cutting."""
+    monkeypatch.setattr(mixing, "BITS", bits)
+    monkeypatch.setattr(mixing, "EDGE", edge)
     data, df = corpus(spark)
+    df = df.withColumns({"weight": F.lit("clash"), "epoch": F.lit("clash")})
+    got = mixing.mix(df).collect()
     counts = Counter()
     for _, s, t in data:
         counts[s] += len((t or "").split())
-    got = mixing.mix(df.withColumn("weight", F.lit("clash"))).collect()
-    epochs = Counter(r.doc_id for r in got)
-    assert set(epochs) == {i for i, _, _ in data} and max(epochs.values()) <= 2
-    dealt = Counter()
+    most = {s: n for s, n in counts.items() if n}
+    total = sum(most.values())
+    a = 1 - math.log(mixing.MAX_REPEAT) / math.log(max(most.values()) / min(most.values()))
+    z = sum((n / total) ** a for n in most.values())
+    weights = {s: (n / total) ** a / z for s, n in most.items()}
     for r in got:
-        dealt[r.source] += r["__tokens"]
-    weights = {r.source: r["__weight"] for r in got}
-    total = sum(dealt.values())
-    for s, w in weights.items():
-        assert abs(dealt[s] / total - w) < 0.01
-    ratio = {s: dealt[s] / counts[s] for s in dealt if counts[s]}
-    assert max(ratio.values()) / min(ratio.values()) <= mixing.MAX_REPEAT + 1e-6
-    assert math.isclose(mixing.repetition({s: n for s, n in counts.items() if n}, weights), mixing.MAX_REPEAT, rel_tol=1e-6)
-    # a permutation: no document comes twice in an epoch
+        assert math.isclose(r["__weight"], weights.get(r.source, 0), rel_tol=1e-9)
+    place = {r.doc_id: r.p for r in df.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), "doc_id", "source", "text"), 24).alias("p")).collect()}
+    rows = [(i, s, len((t or "").split()), place[i]) for i, s, t in data]
+    budget = max(math.ceil(n / weights[s]) for s, n in most.items())
+    want = brute_mix(rows, weights, budget)
+    assert {k: n for k, n in Counter((r.doc_id, place[r.doc_id]) for r in got).items()} == want
+    assert {i for i, _ in want} == {i for i, _, _ in data}  # every document once at least
+    # permutations: no document comes twice in an epoch, and epochs differ in their order
     assert len({(r.doc_id, r["__epoch"]) for r in got}) == len(got)
-    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.withColumn("weight", F.lit("clash"))).collect()))
+    order = [[r.doc_id for r in sorted(got, key=lambda r: (r["__order"], r["__place"])) if r["__epoch"] == e and r.source == "s0"] for e in (0, 1)]
+    again = [i for i in order[0] if i in set(order[1])]
+    assert len(again) < 5 or again != order[1]
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df).collect()))
+
+
+def test_mix_joins_many_sources(spark, monkeypatch):
+    data, df = corpus(spark)
+    want = sorted(map(str, mixing.mixed(df).collect()))
+    monkeypatch.setattr(mixing, "FEW", 1)
+    monkeypatch.setattr(mixing, "HOT", 3)
+    assert sorted(map(str, mixing.mixed(df).collect())) == want
 
 
 def test_mix_by_given_weights_and_budget(spark):
@@ -97,15 +138,25 @@ def test_mix_by_given_weights_and_budget(spark):
     assert 2200 <= dealt["s0"] <= 2250 and 6690 <= dealt["s3"] <= 6750
 
 
-def test_exponent():
-    counts = {"a": 900, "b": 90, "c": 10}
-    assert mixing.find_exponent(counts) == 1.0
-    a = mixing.find_exponent(counts, max_repeat=2)
-    shares = {s: n / 1000 for s, n in counts.items()}
-    assert math.isclose(mixing.repetition(counts, mixing.temperature(shares, a)), 2, rel_tol=1e-9)
-    a = mixing.find_exponent(counts, target_entropy=0.8)
-    assert math.isclose(mixing.entropy(mixing.temperature(shares, a)), 0.8, rel_tol=1e-9)
-    assert mixing.find_exponent(counts, max_repeat=1e9) == 0.0
+def test_repeated_rows_and_very_long_texts_are_dealt(spark):
+    data = [(1, "a", "w " * 300_000), *[(2, "a", "x y")] * 40, *[(None, "b", "z")] * 40, (3, "b", None)]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string")
+    got = Counter(r.doc_id for r in mixing.mixed(df).collect())
+    assert got[1] == 1 and got[2] == 40 and got[None] >= 40 and got[3] >= 1
+
+
+def test_exponent(spark):
+    sources = spark.createDataFrame([("a", 900), ("b", 90), ("c", 10), ("d", 0)], "source string, n long")
+    assert mixing.find_exponent(sources) == 1.0
+    a = mixing.find_exponent(sources, max_repeat=2)
+    assert math.isclose(mixing.repetition(mixing.temperature(sources, a)), 2, rel_tol=1e-9)
+    a = mixing.find_exponent(sources, target_entropy=0.8)
+    assert math.isclose(mixing.entropies(sources, [a])[0], 0.8, rel_tol=1e-9)
+    weights = [r.weight for r in mixing.temperature(sources, a).collect() if r.weight]
+    assert math.isclose(-sum(w * math.log(w) for w in weights), 0.8, rel_tol=1e-9)
+    assert mixing.find_exponent(sources, max_repeat=1e9) == 0.0
+    both = mixing.find_exponent(sources, max_repeat=2, target_entropy=0.8)
+    assert both == max(a, mixing.find_exponent(sources, max_repeat=2))
 
 
 @pytest.mark.parametrize("values", [[], [(1, "s", "")], [(1, "s", None), (1, None, None)]])
