@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from minutespark.llm import licenses, quality, scoring, toxicity
@@ -55,68 +56,204 @@ def test_toxicity(spark):
 
 
 def test_machine_learns_pairs():
-    """Neither term alone is toxic, both together are."""
+    """Insult 10 with group 20 is toxic, insult 11 with group 21 too, the other two pairs are not: no weights of single terms can tell."""
     rng = random.Random(2)
     docs, y = [], []
-    for _ in range(600):
-        a, b = rng.random() < 0.5, rng.random() < 0.5
-        docs.append(np.array(sorted({10} * a | {20} * b if False else ({10} if a else set()) | ({20} if b else set()) | {rng.randrange(100, 140)})))
-        y.append(a and b)
+    for n in range(1200):
+        terms = {rng.randrange(100, 140)}
+        toxic = 0
+        if n % 3 == 0:
+            i, g = rng.randrange(2), rng.randrange(2)
+            terms |= {10 + i, 20 + g}
+            toxic = int(i == g)
+        docs.append(np.array(sorted(terms)))
+        y.append(toxic)
+    m = toxicity.learn(docs, np.array(y, dtype=np.int64), (1.0, 1.0))
+    at = {int(b): i for i, b in enumerate(m.buckets)}
+    score = lambda *ts: m.score(np.array([at[t] for t in ts]))
+    assert min(score(10, 20), score(11, 21)) > 0.7 > 0.3 > max(score(10, 21), score(11, 20), score(10), score(20))
+
+
+def test_partners_common_in_clean_text_are_learnt():
+    """A group mention that clean text holds as often as not is toxic beside one word, which alone is not."""
+    rng = random.Random(3)
+    docs, y = [], []
+    for _ in range(2000):
+        insult, group = rng.random() < 0.25, rng.random() < 0.5
+        docs.append(np.array(sorted({rng.randrange(100, 140)} | ({10} if insult else set()) | ({20} if group else set()))))
+        y.append(int(insult and group))
     m = toxicity.learn(docs, np.array(y, dtype=np.int64), (1.0, 1.0))
     at = {int(b): i for i, b in enumerate(m.buckets)}
     assert m.score(np.array([at[10], at[20]])) > 0.7 > max(m.score(np.array([at[10]])), m.score(np.array([at[20]])))
 
 
-def test_quality(spark):
+def test_machine_equals_the_pairwise_sum():
+    rng = np.random.default_rng(1)
+    m = toxicity.Machine(-0.3, np.arange(9), rng.normal(size=9), rng.normal(size=(9, 4)))
+    for held in ([], [3], [0, 4], [1, 2, 5, 8]):
+        z = -0.3 + sum(m.weights[i] for i in held) + sum(float(m.factors[i] @ m.factors[j]) for i in held for j in held if i < j) / max(1, len(held) - 1)
+        assert math.isclose(m.score(np.array(held, dtype=np.int64)), 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
+def test_training_on_repeated_ids_is_reproducible(spark):
+    docs, labels = make(120)
+    d, la = frames(spark, docs + [(i, t + " other idiotic text", la_, s) for i, t, la_, s in docs], labels)
+    one, two = (toxicity.train(x, la) for x in (d, d.orderBy(F.desc("text")).repartition(7)))
+    assert np.array_equal(one.buckets, two.buckets) and np.allclose(one.weights, two.weights)
+
+
+def test_toxicity_of_very_long_texts(spark):
+    docs, labels = make(200)
+    d, la = frames(spark, docs, labels)
+    long_ = frames(spark, [(1, "council " * 200_000, "en", "s"), (2, "council " * 100_000 + "idiotic Idiots! worthless", "en", "s")], [])[0]
+    got = {r.doc_id: r.toxicity for r in toxicity.scores(long_, toxicity.train(d, la)).collect()}
+    assert got[1] < toxicity.THRESHOLD <= got[2]
+
+
+# --- quality: the model by its definition
+
+
+class KneserNey:
+    def __init__(self, texts, order):
+        counted = Counter("".join(texts))
+        self.top = set(sorted(counted, key=lambda c: (-counted[c], ord(c)))[: quality.SYMBOLS - 2])
+        self.order = order
+        self.counts = {order: Counter(g for t in texts for g in self.grams(t))}
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.cut = {}
+        for k, c in self.counts.items():
+            n1, n2, n3, n4 = (max(1, sum(v == i for v in c.values())) for i in range(1, 5))
+            y = n1 / (n1 + 2 * n2)
+            self.cut[k] = [0, min(max(0, 1 - 2 * y * n2 / n1), 1), min(max(0, 2 - 3 * y * n3 / n2), 2), min(max(0, 3 - 4 * y * n4 / n3), 3)]
+
+    def grams(self, text):
+        s = ["$"] * (self.order - 1) + [c if c in self.top else "?" for c in text or ""] + ["$"]
+        return [tuple(s[i : i + self.order]) for i in range(len(s) - self.order + 1)]
+
+    def p(self, g):
+        if not g:
+            return 1 / quality.SYMBOLS
+        c, d = self.counts[len(g)], self.cut[len(g)]
+        own = {h: n for h, n in c.items() if h[:-1] == g[:-1]}
+        total = sum(own.values())
+        if not total:
+            return self.p(g[1:])
+        free = sum(d[min(3, n)] for n in own.values())
+        n = c.get(g, 0)
+        return (n - d[min(3, n)] if n else 0) / total + free / total * self.p(g[1:])
+
+
+def test_quality(spark, monkeypatch):
+    """Perplexities by the definition, over documents in one block and in many; thresholds are quantiles of unseen good documents."""
     docs, labels = make(400)
     d, la = frames(spark, docs + ODD + [docs[1]], labels)
-    got = {r.doc_id: r for r in quality.judged(d, la).collect()}
+    d = d.withColumn("good_id", F.lit("clash"))
+    unseen = {r.good_id for r in quality.good_ids(la, True).collect()}
+    seen = {r.good_id for r in quality.good_ids(la, False).collect()}
+    assert not unseen & seen and unseen | seen == {i for i, q, _ in labels if q} and 0.15 < len(unseen) / 343 < 0.35
+    model, cache = KneserNey([t for i, t, _, _ in docs if i in seen], quality.ORDER), {}
+
+    def mean(text):
+        logs = [cache.setdefault(g, math.log(max(model.p(g), quality.LEAST))) if g not in cache else cache[g] for g in model.grams(text)]
+        return -sum(logs) / len(logs)
+
+    text = {i: t for i, t, _, _ in docs + ODD}
+    got = quality.judged(d, la).collect()
+    assert len(got) == len(docs) + 4
+    for r in got[::7]:
+        assert math.isclose(math.log(r.perplexity), mean(text[r.doc_id]), rel_tol=1e-4), r
     truth = {i: q for i, q, _ in labels}
-    assert sum(got[i].keep == (truth[i] == 1) for i in truth) / len(truth) > 0.97
-    assert not got[9001].keep and not got[9002].keep and got[None].n_chars == 9
+    assert sum(r.keep == (truth[r.doc_id] == 1) for r in got if r.doc_id in truth) / len(truth) > 0.96
+    odd = {r.doc_id: r for r in got if r.doc_id not in truth}
+    assert not odd[9001].keep and not odd[9002].keep and odd[None].n_chars == 9
+    # English has enough good documents for a quantile of its own, by length class or overall
+    limit = {r.lang: r.threshold for r in got if r.doc_id in truth and 128 <= r.n_chars < 512}
+    own = sorted(mean(text[i]) for i in unseen if docs[i][2] == "en" and 128 <= len(text[i]) < 512)
+    if len(own) >= quality.ENOUGH:
+        want = own[math.ceil(len(own) * quality.QUANTILE) - 1]
+        assert want <= math.log(limit["en"]) <= want + quality.BIN * 1.01
     assert all(r.keep == (r.n_chars > 0) for r in quality.judged(d, la.limit(0)).collect())
     assert quality.judged(d.limit(0), la).isEmpty()
+    # small blocks cut documents apart
+    monkeypatch.setattr(quality, "BLOCK", 50)
+    monkeypatch.setattr(quality, "SLICE", 16)
+    again = {(r.doc_id, r.n_chars): r.perplexity for r in quality.judged(d, la).collect()}
+    assert again.keys() == {(r.doc_id, r.n_chars) for r in got}
+    assert all(math.isclose(again[r.doc_id, r.n_chars], r.perplexity, rel_tol=1e-6) for r in got)
+
+
+def test_quality_of_a_very_long_text(spark):
+    docs, labels = make(60)
+    d, la = frames(spark, docs + [(7777, "the council meets today " * 60_000, "en", "s")], labels)
+    r = {r.doc_id: r for r in quality.judged(d, la).collect()}[7777]
+    assert r.n_chars == 24 * 60_000 and r.perplexity < 5
+
+
+def captured(monkeypatch, name, kept):
+    real = getattr(scoring, name)
+
+    def call(*args, **more):
+        kept[name] = real(*args, **more)
+        return kept[name]
+
+    monkeypatch.setattr(scoring, name, call)
+
+
+def brute_score(tokens, vocab, model, inner):
+    """log10 of the probability of a text, token by token, every sum over classes and slots written out."""
+    number = {w: i for i, w in enumerate(vocab.words)}
+    klass = lambda w: 0 if w is None else number[w] + 1 if number.get(w, 1 << 60) < scoring.HEADS - 1 else scoring.tail_class(w)
+    total, a, b = 0.0, 0, 0
+    for w in tokens:
+        c = klass(w)
+        z = (model.a[a] + model.b[b]).astype(float) @ model.r.T.astype(float) + model.bias
+        total += z[c] - math.log(np.exp(z).sum())
+        if c >= scoring.HEADS:
+            g = c - scoring.HEADS
+            own = np.flatnonzero(inner.group == g)
+            z = inner.v[g % scoring.SHARDS, b].astype(float) @ inner.w[own].T.astype(float) + inner.bias[own]
+            slot = number[w] if number.get(w, 1 << 60) < vocab.known else vocab.known + g
+            total += z[list(own).index(slot)] - math.log(np.exp(z).sum())
+            if slot >= vocab.known:
+                total += math.log(COUNTS[w] + scoring.SMOOTH) - math.log(vocab.beyond()[g])
+        a, b = b, c
+    return total / math.log(10)
 
 
-def test_kneser_ney_sums_to_one():
-    table = np.ones(0x110000, dtype=np.uint8)
-    for i, c in enumerate("abcd "):
-        table[ord(c)] = i + 2
-    k, n = np.unique(np.concatenate([quality.keys("abc abd", table), quality.keys("dab", table)]), return_counts=True)
-    p = np.exp(quality.log_table(k, n).astype(np.float64)).reshape(-1, quality.SYMBOLS).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-4)
-    assert quality.keys(None, table).tolist() == [0]
+COUNTS: Counter = Counter()
 
 
-def test_lm_score(spark):
+@pytest.mark.parametrize(("vocabulary", "frequent"), [(1 << 16, 1 << 18), (215, 230), (3, 5)])
+def test_lm_score(spark, monkeypatch, vocabulary, frequent):
     docs, _ = make(300)
     rng = random.Random(5)
-    docs += [(500 + i, " ".join(f"rare{rng.randrange(40)}" for _ in range(5)) + " The\tCOUNCIL\x0cÉ", "en", "s") for i in range(40)] + ODD
-    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").withColumn("n", F.lit("clash"))
-    out = {0 == 1: None}
-    out = scoring.score(d, d.filter(~scoring.held_out(F.col("doc_id")))).collect()
-    tok = {i: (t or "").encode().lower().split() + [None] for i, t, _, _ in docs}
-    c = Counter(w for i, ws in tok.items() if i is None or zlib.crc32(str(i).encode()) % 10 for w in ws)
+    docs += [(500 + i, " ".join(f"rare{rng.randrange(40)}" for _ in range(5)) + f" w{i * 7 % 190} The\tCOUNCIL\x0cÉ", "en", "s") for i in range(400)] + ODD + [docs[0]]
+    docs.append((8888, "long " * 50_000 + "x" * 200, "en", "s"))
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").withColumn("train", F.lit("clash"))
+    monkeypatch.setattr(scoring, "VOCABULARY", vocabulary)
+    monkeypatch.setattr(scoring, "FREQUENT", frequent)
+    monkeypatch.setattr(scoring, "HOT", 4)
+    kept = {}
+    for name in ("vocabulary", "train", "train_words"):
+        captured(monkeypatch, name, kept)
+    out = scoring.score(d, ~scoring.held_out(F.col("doc_id"))).collect()
+    tok = [(i, (t or "").encode().lower().split() + [None]) for i, t, _, _ in docs]
+    c = Counter(w for i, ws in tok if i is None or zlib.crc32(str(i).encode()) % 10 for w in ws)
     n, v = sum(c.values()), len(c)
+    COUNTS.clear()
+    COUNTS.update(c)
     assert len(out) == len(docs)
+    by_id = dict(tok)
     for r in out:
-        ws = tok[r.doc_id]
+        ws = by_id[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel_tol=1e-9)
+    for r in [r for r in out if r.n_tokens < 200][::40]:
+        assert math.isclose(r.score, brute_score(by_id[r.doc_id], kept["vocabulary"], kept["train"], kept["train_words"]), rel_tol=1e-4, abs_tol=1e-3), r
     unseen = [r for r in out if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 == 0]
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
-    assert scoring.score(d.limit(0), d.limit(0)).isEmpty()
-
-
-def test_rare_words_are_joined(spark, monkeypatch):
-    """With next to no broadcast words the sums are the same."""
-    docs, _ = make(60)
-    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
-    whole = {r.doc_id: (r.n_known, r.base_score) for r in scoring.score(d, d).collect()}
-    monkeypatch.setattr(scoring, "FREQUENT", 3)
-    few = {r.doc_id: (r.n_known, r.base_score) for r in scoring.score(d, d).collect()}
-    assert whole.keys() == few.keys()
-    assert all(whole[i][0] == few[i][0] and math.isclose(whole[i][1], few[i][1], rel_tol=1e-9) for i in whole)
+    assert scoring.score(d.limit(0), F.lit(True)).isEmpty()
 
 
 def test_bilinear_is_normalised():
