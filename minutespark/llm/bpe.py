@@ -35,7 +35,7 @@ CACHE_PARTS = 400_000
 #: Longer parts are not remembered.
 CACHE_CHARS = 64
 #: Bytes of text encoded at once.
-BATCH_BYTES = 5_000_000
+BATCH_BYTES = 2_000_000
 
 
 class Encoder:

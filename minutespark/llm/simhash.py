@@ -135,7 +135,7 @@ HUBS, BLOCK = 8, 256
 #: Bits of a signature.
 SIGN = 1024
 #: Prefix shingles that are grouped in one task, on average.
-GROUPED = 1 << 20
+GROUPED = 1 << 18
 
 
 def sketch(text: str | None) -> bytes:

@@ -1,7 +1,8 @@
 """Token-ID output: Arrow IPC files of equal-length sequences and masks.
 
 Each file holds one range of documents in ascending ``doc_id`` order (nulls
-first, repeated ids by text).  Its record batches have two fixed-size-list columns, ``ids`` and
+first, repeated ids by a hash of the text, so that many of them need not meet in one
+file).  Files follow the bytes of the input (``FILE_BYTES``).  Its record batches have two fixed-size-list columns, ``ids`` and
 ``mask``; a batch is one contiguous buffer, so that a reader that maps the file
 into memory reaches any sequence without copying.  A second Arrow file beside it
 lists the documents: ``doc_id``, ``start`` (ids of the file before it) and
@@ -19,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_tokenizer, encoder, text_groups
-from .shared import documents, require, stored, table_path
+from .shared import documents, require, stored, table_path, tidy
 
 #: Sequences in a record batch.
 BATCH = 64
@@ -122,6 +123,16 @@ class TokenFile:
             yield ids[:n]
 
 
+#: Bytes of the input (as stored) that make a file, about.
+FILE_BYTES = 64 << 20
+
+
+def _files(docs: DataFrame) -> int:
+    """By the size that Spark expects of the input; as many as its shuffles have partitions at least."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // FILE_BYTES), 1 << 20))
+
+
 MANIFEST = "part long, path string, index_path string, n_docs long, n_tokens long"
 
 
@@ -146,16 +157,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             w.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [w.path], "index_path": [w.index_path], "n_docs": [w.n_docs], "n_tokens": [w.n_tokens]})
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(_files(docs), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     return stored(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Each document as the files give it back: doc_id, start, n_tokens, ids_crc32."""
-    files, base = [], 0
-    for r in manifest.orderBy("part").collect():  # one row per file
-        files.append((r.path, r.index_path, base))
-        base += r.n_tokens
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("path", "index_path", "base")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,8 +184,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     starts = pa.array(ib.column("start").to_numpy() + row["base"])
                     yield pa.RecordBatch.from_arrays([ib.column("doc_id"), starts, ib.column("n_tokens"), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = spark.createDataFrame(files, "path string, index_path string, base long")
-    return rows.repartition(max(1, len(files))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, manifest.count())).mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _index(uri: str) -> Iterator[pa.RecordBatch]:
