@@ -54,6 +54,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all tables and files that this package stored; results read from them must be kept elsewhere first."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/minutespark")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Rows and bytes of an Arrow batch.  Whole texts travel in them: the default of 10,000
 #: rows would hold tens of MB of text in each task, twice, outside of the heap, and a
 #: thousand texts of a megabyte each would be a gigabyte.

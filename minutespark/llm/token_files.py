@@ -129,7 +129,7 @@ FILE_BYTES = 64 << 20
 
 def _files(docs: DataFrame) -> int:
     """By the size that Spark expects of the input; as many as its shuffles have partitions at least."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // FILE_BYTES), 1 << 20))
 
 

@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from minutespark.llm import bpe, packing, token_files
-from minutespark.llm.shared import table_path
+from minutespark.llm import bpe, packing, shared, token_files
+from minutespark.llm.shared import stored, table_path
 
 
 def rows(spark, values):
@@ -58,7 +60,6 @@ def test_pack(spark):
     rng = random.Random(2)
     data = [(i, "word " * rng.randrange(90)) for i in range(80)] + [(0, "repeated"), (99, None), (7, "long " * 700), (None, "x")]
     found = packing.pieces(rows(spark, data).repartition(3), 64)
-    from minutespark.llm.shared import stored
 
     got = packing.pack(stored(found, "p"), 64, islands=2, rounds=2).collect()
     want = []
@@ -98,3 +99,34 @@ def test_genetic_algorithm_keeps_every_piece():
                     used[x] += m
             assert used == counts
         assert packing.fitness(packing.evolve([], counts, 100, 0, 4, 10)[0], 100) >= packing.fitness(packing.best_fit(counts, 100, rng), 100)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_evolution_beats_best_fit_where_that_misses_the_bound(spark, seed):
+    """Lengths cut from full sequences in threes, which best fit takes apart wrongly."""
+    rng = random.Random(seed)
+    counts = [0] * 401
+    for _ in range(150):
+        a = rng.randrange(152, 196)
+        b = rng.randrange(100, (400 - a) // 2 + 1)
+        for n in (a, b, 400 - a - b):
+            counts[n] += 1
+    first = random.Random(3)
+    plain = min(sum(packing.best_fit(counts, 400, first, 0.05 * (1 + first.random())).values()) for _ in range(6))
+    assert plain > packing.lower_bound(counts, 400) == 150
+    found = packing.pack_histogram(spark, counts, 400, islands=2, rounds=2, size=6, births=60)
+    assert sum(found.values()) < plain
+    used = Counter()
+    for p, m in found.items():
+        assert sum(p) <= 400
+        for n in p:
+            used[n] += m
+    assert all(used[n] == c for n, c in enumerate(counts) if c)
+
+
+def test_scratch_is_cleared(spark):
+    before = stored(spark.range(3), "x")
+    shared.clear(spark)
+    with pytest.raises(Exception, match="NOT_EXIST|does not exist"):
+        before.collect()
+    assert stored(spark.range(3), "x").count() == 3
