@@ -55,7 +55,7 @@ FREQUENT, LONGEST = 1 << 18, 40
 #: Shards of the descent, rounds of averaging, and steps of a round.
 SHARDS, ROUNDS, STEPS, BATCH, NOISE, RATE = 6, 3, 500, 1024, 64, 0.15
 #: Steps within classes, positives of a step, and noise words of each.
-WORD_STEPS, WORD_BATCH, WORD_NOISE, WORD_RATE = 1200, 2048, 8, 0.1
+WORD_STEPS, WORD_BATCH, WORD_NOISE, WORD_RATE = 600, 1024, 5, 0.5
 #: Distinct words a task holds before it hands on their counts.
 HELD = 400_000
 #: Keys counted, and tokens scored, at once.
