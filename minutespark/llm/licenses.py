@@ -467,5 +467,23 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_licenses": op9_licenses}
-ORACLES: dict[str, str] = {}
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of ``op9_licenses`` SQL can express: the plain phrases."""
+    return op9_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+PHRASES_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents
+), p AS (
+  SELECT unnest([['under', 'the', 'mit', 'license'], ['apache', 'license', 'version', '2'], ['cc', 'by', 'nc']]) AS words, unnest(['mit', 'apache-2', 'cc-by-nc']) AS label
+), hits AS (
+  SELECT doc_id, label, i - 1 AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) x, p WHERE w[i:i + len(words) - 1] = words
+), g AS (
+  SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM hits GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+QUERIES = {"op9_licenses": op9_licenses, "license_phrases": license_phrases}
+ORACLES = {"license_phrases": PHRASES_SQL}

@@ -113,6 +113,19 @@ def find_exponent(sources: DataFrame, max_repeat: float | None = None, target_en
     return max(found)
 
 
+def epochs(sources: DataFrame, weights: Mapping[str | None, float] | None = None, budget: int | None = None, max_repeat: float | None = MAX_REPEAT, target_entropy: float | None = None) -> DataFrame:
+    """The sources with weight, ``whole`` epochs, and the tokens of a partial one (``rest``)."""
+    shares = given(sources, weights) if weights is not None else temperature(sources, find_exponent(sources, max_repeat, target_entropy))
+    shares = stored(shares, "mix-shares")
+    if budget is None:
+        budget = shares.filter("n > 0 and weight > 0").agg(F.max(F.ceil(F.col("n") / F.col("weight")))).first()[0] or 0
+    # within a millionth of a whole epoch it is one
+    part = F.when((F.col("n") > 0) & (F.col("weight") > 0), F.least(F.lit(float(budget)) * F.col("weight") / F.col("n"), F.lit(1e6))).otherwise((F.col("n") <= 0).cast("double"))
+    whole = F.floor(part + 1e-6)
+    rest = F.round(F.greatest(part - whole, F.lit(0.0)) * F.col("n")).cast("long")
+    return shares.withColumns({"whole": whole.cast("int"), "rest": rest})
+
+
 # --- dealing
 
 
@@ -159,17 +172,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, budg
     shift = PLACE - BITS
     cells = stored(rows.groupBy("source", F.shiftright("place", shift).alias("cell")).agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("rows")), "mix-cells")
     sources = stored(cells.groupBy("source").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")), "mix-sources")
-    shares = given(sources, weights) if weights is not None else temperature(sources, find_exponent(sources, max_repeat, target_entropy))
-    shares = stored(shares, "mix-shares")
-    if budget is None:
-        budget = shares.filter("n > 0 and weight > 0").agg(F.max(F.ceil(F.col("n") / F.col("weight")))).first()[0] or 0
-
-    # epochs of a source; within a millionth of a whole one it is one
-    part = F.when((F.col("n") > 0) & (F.col("weight") > 0), F.least(F.lit(float(budget)) * F.col("weight") / F.col("n"), F.lit(1e6))).otherwise((F.col("n") <= 0).cast("double"))
-    whole = F.floor(part + 1e-6)
-    rest = F.round(F.greatest(part - whole, F.lit(0.0)) * F.col("n")).cast("long")
-    end = F.lit(1 << PLACE)
-    plan = shares.select("source", "weight", "rows", whole.cast("int").alias("whole"), F.lit(0).cast("long").alias("lo"), end.alias("hi"), rest.alias("room"))
+    plan = epochs(sources, weights, budget, max_repeat, target_entropy)
+    plan = plan.select("source", "weight", "rows", "whole", F.lit(0).cast("long").alias("lo"), F.lit(1 << PLACE).alias("hi"), F.col("rest").alias("room"))
     plan = _cut(cells.select("source", "cell", "n"), stored(plan, "mix-plan"), shift)
     while shift > 0:
         open_ = plan.filter(F.col("size") > EDGE)
@@ -206,5 +210,26 @@ def mixed(docs: DataFrame) -> DataFrame:
     return mix(docs).select(*docs.columns)
 
 
-QUERIES = {"op6_mix": op6_mix}
-ORACLES: dict[str, str] = {}
+def mix_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of ``op6_mix`` SQL can express: weights, and how much is dealt of each source."""
+    docs = documents(spark, sf_dir).groupBy("source").agg(F.sum(tokens(F.col("text"))).alias("n"))
+    return epochs(docs).select("source", "n", F.round("weight", 6).alias("weight"), "whole", "rest")
+
+
+PLAN_SQL = f"""
+WITH s AS (
+  SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) AS BIGINT) AS n FROM documents GROUP BY source
+), x AS (
+  SELECT CAST(max(n) AS DOUBLE) / min(n) AS ratio, CAST((SELECT sum(n) FROM s) AS DOUBLE) AS total FROM s WHERE n > 0
+), p AS (
+  SELECT source, n, CASE WHEN n > 0 THEN exp(CASE WHEN ratio > {MAX_REPEAT} THEN 1 - ln({MAX_REPEAT}) / ln(ratio) ELSE 0 END * ln(n / total)) ELSE 0 END AS p FROM s, x
+), w AS (
+  SELECT source, n, p / sum(p) OVER () AS weight FROM p
+), e AS (
+  SELECT *, CASE WHEN weight > 0 THEN (SELECT max(ceil(n / weight)) FROM w WHERE n > 0) * weight / n ELSE 1.0 END AS part FROM w
+)
+SELECT source, n, round(weight, 6) AS weight, CAST(floor(part + 1e-6) AS INTEGER) AS whole, CAST(round(greatest(part - floor(part + 1e-6), 0) * n) AS BIGINT) AS rest FROM e
+"""
+
+QUERIES = {"op6_mix": op6_mix, "mix_plan": mix_plan}
+ORACLES = {"mix_plan": PLAN_SQL}

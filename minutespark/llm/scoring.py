@@ -576,5 +576,26 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {"op8_lm_score": op8_lm_score}
-ORACLES: dict[str, str] = {}
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of ``op8_lm_score`` SQL can express: all but the model's score."""
+    return op8_lm_score(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 6))
+
+
+#: CRC-32 of the id's digits, bit by bit.
+BASE_SQL = """
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS text, xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), CAST(4294967295 AS BIGINT)), 4294967295) % 10 = 0 AS held_out FROM documents
+), t AS (
+  SELECT doc_id, held_out, unnest(list_append(list_transform(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), lambda w: concat('w', w)), 'end')) AS token FROM h
+), c AS (
+  SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY token
+), n AS (
+  SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c
+)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, max(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 6) AS base_score
+FROM t LEFT JOIN c ON t.token = c.token, n GROUP BY doc_id, held_out
+"""
+
+QUERIES = {"op8_lm_score": op8_lm_score, "lm_base_scores": lm_base_scores}
+ORACLES = {"lm_base_scores": BASE_SQL}
