@@ -129,7 +129,7 @@ def learn(docs: list[np.ndarray], toxic: np.ndarray, shares: tuple[float, float]
         np.add.at(dv, col, (g * pairs)[row, None] * (s[row] - v))
         dv += DECAY * m.factors
         gw, gv, gb = gw + dw**2, gv + dv**2, gb + g.sum() ** 2
-        m.weights -= RATE * 5 * dw / np.sqrt(gw)
+        m.weights -= RATE * 2 * dw / np.sqrt(gw)
         m.factors -= RATE * dv / np.sqrt(gv)
         m.bias -= RATE * g.sum() / np.sqrt(gb)
     return m

@@ -36,7 +36,9 @@ def test_stages(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES if n[:2] == "op" and n[2].isdigit()) == list(range(1, 11))
+    # the others show what SQL can express of these
+    assert {n for n in catalog.QUERIES if not n.startswith("op")} <= set(catalog.ORACLES)
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
 
 
