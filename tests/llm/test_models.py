@@ -183,6 +183,22 @@ def test_quality(spark, monkeypatch):
     assert all(math.isclose(again[r.doc_id, r.n_chars], r.perplexity, rel_tol=1e-6) for r in got)
 
 
+def test_quality_is_counted_on_all_trusted_documents(spark, monkeypatch):
+    """Of more trusted documents than are broadcast at once none is left out, and none counts twice."""
+    for name in ("TRUSTED", "AT_ONCE"):
+        monkeypatch.setattr(quality, name, 50, raising=False)
+    docs, labels = make(400)
+    d, la = frames(spark, docs, labels)
+    seen = {r.good_id for r in quality.good_ids(la, False).collect()}
+    assert len(seen) > 200
+    model = KneserNey([t for i, t, _, _ in docs if i in seen], quality.ORDER)
+    got = {r.doc_id: r.mean_log for r in quality.perplexities(d, la).collect()}
+    assert len(got) == len(docs)
+    for i, text, _, _ in docs[::40]:
+        logs = [math.log(max(model.p(g), quality.LEAST)) for g in model.grams(text)]
+        assert math.isclose(got[i], -sum(logs) / len(logs), rel_tol=1e-4), i
+
+
 def test_quality_of_a_very_long_text(spark):
     docs, labels = make(60)
     d, la = frames(spark, docs + [(7777, "the council meets today " * 60_000, "en", "s")], labels)
