@@ -4,8 +4,8 @@ The pre-tokenizer of a byte-level BPE never lets a piece run over a single blank
 or line feed that stands between two non-space characters: the blank joins the
 piece at its right, the line feed is a piece of its own.  A text may therefore be
 cut at those places, and equal parts always get equal ids.  Arrow finds the
-distinct parts of a batch, the library encodes each once, and a bounded
-dictionary remembers the ids for later batches.
+distinct parts of a batch, the library encodes each once, many joined in one string,
+and a bounded dictionary remembers the ids for later batches.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ _MARKS = ".,;:!?%$&*#|)]\"'"
 CACHE_PARTS = 400_000
 #: Longer parts are not remembered.
 CACHE_CHARS = 64
+#: Parts that the library gets as one string.
+RUN = 256
 #: Bytes of text encoded at once.
 BATCH_BYTES = 2_000_000
 
@@ -58,11 +60,28 @@ class Encoder:
             and self._tok.normalizer is None
             and self._plain([probe])[0] == b"".join(self._plain(_CUT.split(probe)))
         )
+        # ids whose token begins with a blank or a line feed, in the alphabet of byte-level tokens
+        vocab = self._tok.get_vocab(with_added_tokens=True)
+        self._begins = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self._begins[[i for x, i in vocab.items() if x[:1] in ("\u0120", "\u010a")]] = True
+        self._joinable = self._cuttable and not any(" " in a or "\n" in a for a in self._added)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         code = self._code
         return [array(code, e.ids).tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _runs(self, parts: list[str]) -> list[bytes]:
+        """As ``_plain``, of parts that each begin with the only blank or line feed in them."""
+        if not self._joinable or not parts:
+            return self._plain(parts)
+        runs = ["".join(parts[i : i + RUN]) for i in range(0, len(parts), RUN)]
+        ids = np.concatenate([np.array(e.ids, dtype=self.dtype) for e in self._tok.encode_batch_fast(runs, add_special_tokens=False)])
+        at = np.flatnonzero(self._begins[ids])
+        if len(at) != len(parts):
+            return self._plain(parts)
+        flat, cuts = ids.tobytes(), [*(at * self.dtype.itemsize).tolist(), ids.nbytes]
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def _parts(self, names: list[str]) -> list[bytes]:
         """Ids of distinct parts: behind a blank, or with their own line feed, or first."""
         cache = self._cache
@@ -83,9 +102,12 @@ class Encoder:
             stems[x] = b""
         new = list(stems)
         marks = list({names[i][len(stem) :] for i, stem in ends.items()})
-        ids = self._plain([x if x[:1] == "\n" else x[1:] if x[:1] == _FIRST else " " + x for x in new] + marks)
-        mark = dict(zip(marks, ids[len(new) :], strict=True))
-        stems.update(zip(new, ids, strict=False))
+        firsts = [x for x in new if x[:1] == _FIRST]
+        later = [x for x in new if x[:1] != _FIRST] if firsts else new
+        ids = self._plain([x[1:] for x in firsts] + marks)
+        mark = dict(zip(marks, ids[len(firsts) :], strict=True))
+        stems.update(zip(firsts, ids, strict=False))
+        stems.update(zip(later, self._runs([x if x[:1] == "\n" else " " + x for x in later]), strict=True))
         for i in missing:
             if i in ends:
                 stem = ends[i]

@@ -26,6 +26,30 @@ def test_encoder_equals_library():
             assert list(got) == e._tok.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_distinct_parts_are_encoded_in_joined_runs():
+    """The library gets a string for many parts, not one for each; ids stay those of the whole texts."""
+    e = bpe.Encoder(bpe.default_tokenizer())
+    rng = random.Random(5)
+    letters = "abcdefgh'é日Ġ9_-.\u0301"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(6000)]
+    texts = ["".join(w + rng.choice(["", ".", ",\n", '").']).rstrip("\n") + rng.choice(" \n") for w in words[i : i + 300]).strip() for i in range(0, 6000, 300)]
+    handed = []
+
+    class Counting:
+        def __init__(self, tok):
+            self.tok = tok
+
+        def encode_batch_fast(self, batch, **named):
+            handed.extend(batch)
+            return self.tok.encode_batch_fast(batch, **named)
+
+    library, e._tok = e._tok, Counting(e._tok)
+    got = e.encode(texts)
+    for t, ids in zip(texts, got, strict=True):
+        assert list(ids) == library.encode(t, add_special_tokens=False).ids, t
+    assert len(handed) < 300
+
+
 def brute(texts, end=0):
     from tokenizers import Tokenizer
 
