@@ -21,6 +21,7 @@ reach each other through them.  Ids from ``BEYOND`` on stand for nodes without o
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import documents, require, stored, tidy
+from .shared import documents, join_groups, require, stored, tidy
 
 SEED = 42
 SHINGLE = 3
@@ -128,8 +129,11 @@ def families(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 #: The similarity that links, and the words of a shingle.
 ALIKE, WORDS = 0.8, 5
-#: Documents in whose texts common shingles are looked for, and how many of these are told apart.
-SAMPLE, COMMON = 20_000, 1 << 18
+#: Buckets in which the shingles of all documents are counted, the slices they travel in,
+#: and how many of the fullest are told apart.
+BUCKETS, SLICES, COMMON = 1 << 22, 256, 1 << 18
+#: A bucket is hot that holds so many more of the documents' shingles than the mean.
+HOT_SHARE = 0.0012
 #: Members that the others of a crowded group are compared with first, and rows of a block of what is left.
 HUBS, BLOCK = 8, 256
 #: Bits of a signature.
@@ -201,47 +205,54 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def bucket(shingles: np.ndarray) -> np.ndarray:
+    """Where a shingle is counted, of signed or unsigned hashes."""
+    return shingles.view(np.uint64) & np.uint64(BUCKETS - 1)
+
+
 @dataclass
 class Common:
-    """Shingles that repeat in a sample, in order, and in how many of its documents they stand.
+    """How often the shingles of all documents fall into each bucket.
 
-    They order the shingles of a prefix and route what is grouped; no result depends
-    on the sample.
+    The ranks order the shingles of a prefix and ``hot`` routes what is grouped; no
+    result depends on either, so that shingles may share a bucket.
     """
 
-    keys: np.ndarray
-    counts: np.ndarray
-    shingles: float  # prefix shingles of the whole table, as estimated
-
-    def hot(self) -> np.ndarray:
-        """Those of over SMALL documents of the sample."""
-        return self.keys[self.counts > SMALL]
+    rank: np.ndarray  # of a bucket: 0, or more the fuller it is
+    hot: np.ndarray  # buckets that could fill a task
+    shingles: float  # prefix shingles of the whole table
 
 
 def common_shingles(rows: DataFrame) -> Common:
-    """From about SAMPLE documents; at most COMMON shingles, those of most documents."""
-    share = min(1.0, SAMPLE / max(1, rows.count()))
-    if share < 1:
-        rows = rows.filter(F.pmod(F.shiftrightunsigned(F.xxhash64("doc_id"), 20), F.lit(1 << 40)) < int(share * (1 << 40)))
+    """From all documents, of which each counts a shingle once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, dtype=np.uint64)
         for b in batches:
-            found = np.concatenate([np.unique(shingle_hashes(t.as_py(), WORDS)) for t in b.column("text")] or [np.empty(0, np.uint64)])
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["key"])
-
-    counted = stored(rows.select("text").mapInArrow(tidy(run), "key long").groupBy("key").count(), "common")
-    found = counted.filter("count > 1")
-    least, left = 2, COMMON
-    for r in found.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).toLocalIterator():
-        left -= r.n
-        if left < 0:
-            least = r["count"] + 1
-            break
-    got = found.filter(F.col("count") >= least).toArrow()
-    keys, counts = got.column("key").to_numpy().view(np.uint64), got.column("count").to_numpy()
-    order = np.argsort(keys)
-    held = counted.agg(F.sum("count")).first()[0] or 0
-    return Common(keys[order], counts[order], held / share / 5)
+            for t in b.column("text"):
+                np.add.at(counts, bucket(np.unique(shingle_hashes(t.as_py(), WORDS))), np.uint64(1))
+        if counts.any():
+            packed = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], ["slice", "counts"])
+
+    def add(key, table):
+        total = np.zeros(BUCKETS // SLICES, dtype=np.uint64)
+        for x in table.column("counts"):
+            total += np.frombuffer(zlib.decompress(x.as_py()), dtype=np.uint64)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    counted = rows.select("text").mapInArrow(tidy(run), "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
+    counts = np.zeros((SLICES, BUCKETS // SLICES), dtype=np.uint64)
+    for r in counted.collect():
+        counts[r.slice] = np.frombuffer(zlib.decompress(r.counts), dtype=np.uint64)
+    counts = counts.ravel()
+    held, rank, hot = int(counts.sum()), np.zeros(BUCKETS, dtype=np.uint8), np.zeros(BUCKETS, dtype=bool)
+    if held and COMMON:
+        least = max(1, int(np.partition(counts, -COMMON - 1)[-COMMON - 1]))  # at most COMMON buckets hold more
+        full = counts > least
+        rank[full] = np.minimum(255, 1 + 8 * np.log2(counts[full] / least))
+        hot = counts > held / BUCKETS + max(SMALL, HOT_SHARE * rows.count())
+    return Common(rank, hot, held / 5)
 
 
 #: Both sets of a pair that stands in a group may still share enough: the shingle that
@@ -281,15 +292,14 @@ def groups(prefixes: DataFrame, common: Common) -> DataFrame:
 
     Most prefix shingles stand in one set alone.  They travel once, packed, to the
     task of their hash, and only those that meet come out of it as rows.  Shingles
-    known to be frequent, which could fill such a task, are grouped as rows instead,
-    after each task has counted its own.
+    of hot buckets, which could fill such a task, are grouped as rows instead, after
+    each task has counted its own.
     """
     tasks = max(1, math.ceil(common.shingles / GROUPED))
-    hot = common.hot().view(np.int64)
-    hot = np.sort(hot)
+    hot = np.flatnonzero(common.hot).astype(np.uint64)
 
     def is_hot(k: np.ndarray) -> np.ndarray:
-        return hot[np.minimum(np.searchsorted(hot, k), len(hot) - 1)] == k if len(hot) else np.zeros(len(k), dtype=bool)
+        return np.isin(bucket(k), hot)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for entries in _entries(batches):
@@ -313,8 +323,8 @@ def groups(prefixes: DataFrame, common: Common) -> DataFrame:
     met = packed.groupBy("task").applyInArrow(_met, "key long, mark long, n int, pos int, count long")
     frequent = rows.mapInArrow(single, "key long, mark long, n int, pos int").groupBy("key", "mark").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     frequent = stored(frequent, "frequent")
-    sizes = F.broadcast(frequent.groupBy("key").count().filter("count > 1"))  # at most COMMON rows
-    return stored(met.unionByName(frequent.join(sizes, "key").select(*met.columns)), "groups")
+    sizes = frequent.groupBy("key").count().filter("count > 1")
+    return stored(met.unionByName(join_groups(frequent, sizes, ["key"], "count").select(*met.columns)), "groups")
 
 
 def nominated(members: DataFrame) -> DataFrame:
@@ -374,7 +384,7 @@ def near_links(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     common = common_shingles(rows)
-    keys, rank = common.keys, common.counts
+    rank = common.rank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -386,7 +396,7 @@ def near_links(docs: DataFrame) -> DataFrame:
                     ids.append(i.as_py())
                     marks.append(mark(whole))
                     sizes.append(len(hashes))
-                    firsts.append(prefix(hashes, keys, rank).view(np.int64))
+                    firsts.append(prefix(hashes, hashes, rank[bucket(hashes)]).view(np.int64))
                     sigs.append(signature(hashes))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, marks, sizes, firsts, sigs), kinds, strict=True)], ["doc_id", "mark", "n", "keys", "sig"])

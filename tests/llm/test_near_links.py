@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from minutespark.llm import simhash
@@ -104,6 +105,22 @@ def test_links_do_not_depend_on_the_number_of_rows(spark, monkeypatch, sample):
     assert found(spark, docs) == brute(docs)
 
 
+def test_common_shingles_are_counted_in_all_rows(spark, monkeypatch):
+    """Of 200 rows every one is counted: the total is exact, and the shared line ranks above all else."""
+    monkeypatch.setattr(simhash, "SAMPLE", 20, raising=False)
+    rng = random.Random(16)
+    line = make(rng, 30)
+    texts = [" ".join(make(rng, 40) + line) for _ in range(200)]
+    common = simhash.common_shingles(rows(spark, list(enumerate(texts))).repartition(3))
+    sets = [set(simhash.shingle_hashes(t, simhash.WORDS).tolist()) for t in texts]
+    assert common.shingles == sum(map(len, sets)) / 5
+    both = np.array(sorted(set.intersection(*sets)), dtype=np.uint64)
+    rest = np.array(sorted(set.union(*sets) - set(both.tolist())), dtype=np.uint64)
+    assert len(both) == 26 and common.hot[simhash.bucket(both)].all()
+    assert common.hot.sum() == 26 and (common.rank[simhash.bucket(both)] > 50).all()
+    assert (common.rank[simhash.bucket(rest)] > 50).mean() < 0.01
+
+
 def parts(ids, pairs):
     parent = {i: i for i in ids}
 
