@@ -227,10 +227,10 @@ def common_shingles(rows: DataFrame) -> Common:
     """From all documents, of which each counts a shingle once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, dtype=np.uint64)
+        counts = np.zeros(BUCKETS, dtype=np.uint32)  # of one task
         for b in batches:
             for t in b.column("text"):
-                np.add.at(counts, bucket(np.unique(shingle_hashes(t.as_py(), WORDS))), np.uint64(1))
+                np.add.at(counts, bucket(np.unique(shingle_hashes(t.as_py(), WORDS))), np.uint32(1))
         if counts.any():
             packed = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], ["slice", "counts"])
@@ -238,7 +238,7 @@ def common_shingles(rows: DataFrame) -> Common:
     def add(key, table):
         total = np.zeros(BUCKETS // SLICES, dtype=np.uint64)
         for x in table.column("counts"):
-            total += np.frombuffer(zlib.decompress(x.as_py()), dtype=np.uint64)
+            total += np.frombuffer(zlib.decompress(x.as_py()), dtype=np.uint32)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     counted = rows.select("text").mapInArrow(tidy(run), "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
