@@ -39,8 +39,10 @@ def literal(v: Sequence[float]) -> Column:
 
 
 def to_text(v: Column) -> Column:
-    """``[0.12345678, ...]``: eight decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(as_double(v), lambda x: F.format_string("%.8f", x)), ", "), F.lit("]"))
+    """``[0.12345678, ...]``: eight decimals, halves to even as in C (%.8f is Java's here and rounds them up)."""
+    finite = lambda x: F.abs(x) < F.lit(float("inf"))
+    digits = lambda x: F.when(finite(x), F.call_function("format_number", x, F.lit("0.00000000"))).otherwise(F.format_string("%.8f", x))
+    return F.concat(F.lit("["), F.array_join(F.transform(as_double(v), digits), ", "), F.lit("]"))
 
 
 def from_text(x: Column) -> Column:

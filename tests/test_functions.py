@@ -108,6 +108,19 @@ def test_vectors(spark):
     assert got[1][0] == 1 and got[1][1] is None
 
 
+def test_vector_text_rounds_as_c(spark):
+    """Halves to even, of the binary value; Python's format is C's."""
+    rng = random.Random(5)
+    ties = [k / 512 for k in range(-600, 600)] + [(2 * k + 1) / 2**10 for k in range(-50, 50)]
+    rest = [rng.gauss(0, 10 ** rng.randint(-9, 6)) for _ in range(2000)] + [-0.0, -1e-9, 1.5e-8, 2.5e-8, 1234.5, 16777215.0]
+    rows = spark.createDataFrame([(ties + rest, ties + rest)], "f array<float>, d array<double>")
+    r = rows.select("f", "d", vector.to_text(F.col("f")).alias("ft"), vector.to_text(F.col("d")).alias("dt"), F.size(vector.from_text(vector.to_text(F.col("f")))).alias("n")).first()
+    assert r.ft == "[" + ", ".join(f"{x:.8f}" for x in r.f) + "]"
+    assert r.dt == "[" + ", ".join(f"{x:.8f}" for x in r.d) + "]"
+    assert r.n == len(r.f)
+    assert spark.range(1).select(vector.to_text(F.array(F.lit(float("inf")), F.lit(float("nan"))))).first()[0] == "[Infinity, NaN]"
+
+
 def test_tokens(spark):
     assert one(spark, ["Hello 東京都庁 ひらがなABC", None, ""], tokens.tokens(F.col("x"))) == [["hello", "東京", "京都", "都庁", "ひらがな", "abc"], [], []]
 
