@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import partial
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_text
 
 _SILENT = {"script", "style", "noscript"}
+_REFERENCE = re.compile(r"&(?:#[0-9]+;|#[xX][0-9a-fA-F]+;|([A-Za-z][A-Za-z0-9]*;))?")
+#: Stands for an ampersand that is text; no character, so no page holds it.
+_AMPERSAND = "\ufdd0"
 
 
 class _Text(HTMLParser):
@@ -43,15 +49,25 @@ class _Text(HTMLParser):
                 self.title.append(data)
 
 
-def html_text(content: bytes | str | None) -> str:
-    """The title, then all text nodes (the title among them), one a line; not yet cleaned."""
+def _ended(m: re.Match) -> str:
+    known = m[0] != "&" and (m[1] is None or m[1] in html5)
+    return m[0] if known else _AMPERSAND + m[0][1:]
+
+
+def html_text(content: bytes | str | None, ended: bool = False) -> str:
+    """The title, then all text nodes (the title among them), one a line; not yet cleaned.
+
+    Browsers read some names without a semicolon (``&amp``, as where a title is cut);
+    with ``ended`` these are text, and only what a semicolon ends is a reference.
+    """
     if content is None:
         return ""
     raw = content.decode("utf-8", "ignore") if isinstance(content, (bytes, bytearray)) else content
     p = _Text()
-    p.feed(raw)
+    p.feed(_REFERENCE.sub(_ended, raw) if ended else raw)
     p.close()
-    return "".join(p.title).strip() + "\n" + "\n".join(p.parts)
+    found = "".join(p.title).strip() + "\n" + "\n".join(p.parts)
+    return found.replace(_AMPERSAND, "&") if ended else found
 
 
 def pdf_text(content: bytes | None) -> str:
@@ -88,8 +104,8 @@ def decoded(content: Column) -> Column:
     return _udf(lambda b: bytes(b).decode("utf-8", "ignore"))(content)
 
 
-def html_to_text(content: Column) -> Column:
-    return clean_text(_udf(html_text)(content))
+def html_to_text(content: Column, ended: bool = False) -> Column:
+    return clean_text(_udf(partial(html_text, ended=ended))(content))
 
 
 def html_to_text_plain(raw: Column, normalized: bool = False) -> Column:

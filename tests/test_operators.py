@@ -117,6 +117,25 @@ def test_parse(spark):
     assert got["b"] == "plain text" and got["c"] == got["d"] == ""
 
 
+def test_references_without_semicolon():
+    page = "<title>A &amp;&amp &quot</title><script>a && b</script><p a='&amp'>&copy 1 &copy; &#38; &#38 &x26; &#x26; &ampx; & &nope; &amp;quot;</p>\n&"
+    assert parse.html_text(page.encode()).split("\n") == ['A && "', 'A && "', "© 1 © & & &x26; & &x; & &nope; &quot;", "", "&"]
+    assert parse.html_text(page.encode(), ended=True).split("\n") == ["A &&amp &quot", "A &&amp &quot", "&copy 1 © & &#38 &x26; & &ampx; & &nope; &quot;", "", "&"]
+
+
+def test_cut_references_in_pages_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from minutespark.catalog import ORACLES, QUERIES
+
+    cut = [f"<!DOCTYPE html><html><head><title>T &amp; x{t}</title></head><body><p>y {t}</p><!-- c --></body></html>" for t in ("&amp;&amp", "&am", "&", "&quot", "&copy", "&middot 1")]
+    spark.createDataFrame([(i, f"https://e/{i}", h) for i, h in enumerate(cut)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = {r[0]: r[1] for r in con.execute(f"SELECT page_id, text FROM ({ORACLES['html_text']})").fetchall()}
+    assert {r.page_id: r.text for r in QUERIES["html_text"](spark, str(tmp_path)).collect()} == want
+
+
 def test_normalize_job(spark):
     p = pages(spark, [("https://www.mof.go.jp/x", "text/html", HTML.encode()), ("", "text/html", b"y")])
     table, rows = jobs.normalize(p, None, schemas.empty(spark, "meeting_metadata"), "db")
