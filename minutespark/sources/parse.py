@@ -117,24 +117,24 @@ def pdf_to_text(content: Column, parse: Callable[[bytes | None], str] = pdf_text
     return clean_text(_udf(parse)(content))
 
 
-def parse_content(rows: DataFrame, parse_pdf: Callable[[bytes | None], str] = pdf_text) -> DataFrame:
+def parse_content(rows: DataFrame, parse_pdf: Callable[[bytes | None], str] = pdf_text, ended: bool = False) -> DataFrame:
     """``text`` from ``content`` by ``content_type``: HTML, PDF, else HTML and, if that is short, PDF.
 
     Each kind is a branch of its own, so a row meets the parsers it needs alone.
-    Null and empty contents give empty texts.
+    Null and empty contents give empty texts.  ``ended`` is html_text's.
     """
     kind = F.lower(F.coalesce("content_type", F.lit("")))
     empty = F.coalesce(F.length("content"), F.lit(0)) == 0
     is_html, is_pdf = kind.startswith("text/html"), kind.startswith("application/pdf")
     none = rows.filter(empty).withColumn("text", F.lit(""))
-    html = rows.filter(~empty & is_html).withColumn("text", html_to_text(F.col("content")))
+    html = rows.filter(~empty & is_html).withColumn("text", html_to_text(F.col("content"), ended))
     pdf = rows.filter(~empty & is_pdf & ~is_html).withColumn("text", pdf_to_text(F.col("content"), parse_pdf))
     rest = rows.filter(~empty & ~is_html & ~is_pdf)
 
     @F.pandas_udf("string")
     def either(s: pd.Series) -> pd.Series:
         def one(b: bytes) -> str:
-            text = html_text(b)
+            text = html_text(b, ended)
             return text if len(text.strip()) >= 50 else parse_pdf(b) or text
 
         return s.map(lambda b: one(bytes(b)))

@@ -146,6 +146,34 @@ def test_normalize_job(spark):
         jobs.normalize(p, None, table, "other")
 
 
+def test_pages_that_share_a_url(spark):
+    """Each has its row and its count; the table gets the newest, a sample before all."""
+    p = pages(spark, [("https://e/a", "text/html", b"old"), ("https://e/b", "text/html", b"b"), ("https://e/a", "text/html", b"new")])
+    none = schemas.empty(spark, "meeting_metadata")
+    assert sorted((r.url[-1], r.discussion_text) for r in jobs.normalize_pages(p, none).collect()) == [("a", "new"), ("a", "old"), ("b", "b")]
+    table, rows = jobs.normalize(p, None, none, "db")
+    assert sorted((r.url[-1], r.discussion_text) for r in table.collect()) == [("a", "new"), ("b", "b")]
+    assert tuple(jobs.counters(rows).first()) == (3, 0, 0) and "id" not in rows.columns
+    sample = spark.createDataFrame([("https://e/a", "sample")], "url string, text string")
+    table, rows = jobs.normalize(p, sample, none, "both")
+    assert sorted((r.url[-1], r.discussion_text) for r in table.collect()) == [("a", "sample"), ("b", "b")]
+    assert tuple(jobs.counters(rows).first()) == (4, 0, 0)
+
+
+def test_normalized_pages_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from minutespark.catalog import ORACLES, QUERIES
+
+    rows = [(i, f"https://e/{i % 4}", f"<!DOCTYPE html><html><head><title>T &amp; x &amp</title></head><body><p>y {i}</p></body></html>") for i in range(10)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = QUERIES["pages_normalized"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES['pages_normalized']})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_title_and_text_give_different_fields(spark):
     """Date, council and ministry come from the title as it stands, then the text; the number from the text alone."""
     rows = [("https://e/1", "本文のみ", "第５回　情報審議会　令和7年7月23日"), ("https://e/2", "第２回 部会\n2024年1月2日", "環境省の資料"), ("https://e/3", "第２回 部会", None)]
