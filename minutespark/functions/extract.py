@@ -108,8 +108,9 @@ def attendees(x: Column) -> Column:
 
 def agenda(x: Column) -> Column:
     """200 characters from the first heading, up to the next one; empty if none, or if the heading itself stops it."""
-    # a heading has two characters
-    snippet = F.regexp_extract(F.coalesce(x, F.lit("")), f"(?s){AGENDA}.{{0,198}}", 0)
+    # only texts that hold a heading are searched by the pattern; a heading has two characters
+    likely = F.contains(x, F.lit("議題")) | F.contains(x, F.lit("議事"))
+    snippet = F.when(likely, F.regexp_extract(x, f"(?s){AGENDA}.{{0,198}}", 0)).otherwise("")
     stops = F.filter(F.array(*[F.instr(snippet, k) for k in AGENDA_STOPS]), lambda p: p > 0)
     cut = F.when(F.size(stops) > 0, F.substring(snippet, F.lit(1), F.array_min(stops) - 1)).otherwise(snippet)
     return strip(one_line(cut))

@@ -154,6 +154,15 @@ def test_cleaning_equals_the_model(spark):
         assert r.n == lines_model(texts[r.i], False), repr(texts[r.i])
 
 
+def test_cleaning_again_changes_nothing(spark):
+    rng = random.Random(10)
+    pieces = [" ", "\t", "\n", "\n\n", "\r", "\x0b", "\x1f", "\x85", "　", "-", "12", "３", "- 4 -", "-  5 -", "a", "会議", "\u0301", "ﾞ", "ｶ", "㌔", "\x00"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 14))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", text.clean_text(F.col("x")).alias("c"))
+    for r in df.withColumn("again", text.clean_text(F.col("c"))).collect():
+        assert r.again == r.c, repr(texts[r.i])
+
+
 def test_sentence_chunks_by_their_rules():
     rng = random.Random(2)
     for _ in range(300):

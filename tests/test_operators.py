@@ -174,6 +174,15 @@ def test_normalized_pages_equal_the_sql(spark, tmp_path):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
+def test_texts_are_cleaned_once(spark):
+    """Not once for each field that is read off them."""
+    p = pages(spark, [("https://e/a", "text/html", b"x")])
+    samples = spark.createDataFrame([("https://e/a", "x")], "url string, text string")
+    for df, kinds in ((jobs.normalize_pages(p, schemas.empty(spark, "meeting_metadata")), 3), (jobs.metadata_rows(samples), 1)):
+        found = df._jdf.queryExecution().optimizedPlan().toString()
+        assert found.count("(?md)^-?") <= kinds, found.count("(?md)^-?")  # a branch for each of three kinds of content
+
+
 def test_title_and_text_give_different_fields(spark):
     """Date, council and ministry come from the title as it stands, then the text; the number from the text alone."""
     rows = [("https://e/1", "本文のみ", "第５回　情報審議会　令和7年7月23日"), ("https://e/2", "第２回 部会\n2024年1月2日", "環境省の資料"), ("https://e/3", "第２回 部会", None)]
